@@ -5,13 +5,17 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from cellgrid.llm import bytebpe, fingerprints, mainhtml, packing, simhash, toxicity
+from cellgrid.llm import bytebpe, fingerprints, mainhtml, packing, repeats, simhash, toxicity
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_suffix_arrays(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeats.report(_table(spark, sf_dir, "documents"))
+
+
 def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(_table(spark, sf_dir, "documents"))
 
@@ -38,6 +42,6 @@ def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bytebpe.digests(_table(spark, sf_dir, "documents"), path, public_tokenizers.PATTERN)
 
 
-QUERIES = {f.__name__: f for f in (op3_simhash, op5_toxicity, op6_main_text, op7_fingerprints, op8_packing, op10_byte_bpe)}
+QUERIES = {f.__name__: f for f in (op1_suffix_arrays, op3_simhash, op5_toxicity, op6_main_text, op7_fingerprints, op8_packing, op10_byte_bpe)}
 
 SQL: dict[str, str] = {}
