@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from cellgrid.llm import bytebpe, fingerprints, mainhtml, packing, repeats, simhash, toxicity
+from cellgrid.llm import bytebpe, fingerprints, mainhtml, neighbours, packing, repeats, simhash, toxicity
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -20,6 +20,10 @@ def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(_table(spark, sf_dir, "documents"))
 
 
+def op4_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neighbours.nearest(_table(spark, sf_dir, "embeddings"))
+
+
 def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents")
     return toxicity.score(docs, toxicity.fit(docs, _table(spark, sf_dir, "labels")))
@@ -42,6 +46,6 @@ def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bytebpe.digests(_table(spark, sf_dir, "documents"), path, public_tokenizers.PATTERN)
 
 
-QUERIES = {f.__name__: f for f in (op1_suffix_arrays, op3_simhash, op5_toxicity, op6_main_text, op7_fingerprints, op8_packing, op10_byte_bpe)}
+QUERIES = {f.__name__: f for f in (op1_suffix_arrays, op3_simhash, op4_neighbours, op5_toxicity, op6_main_text, op7_fingerprints, op8_packing, op10_byte_bpe)}
 
 SQL: dict[str, str] = {}
