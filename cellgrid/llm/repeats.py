@@ -24,6 +24,7 @@ import hashlib
 from collections.abc import Callable, Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
@@ -437,8 +438,6 @@ def remove(docs: DataFrame) -> DataFrame:
 
     A character of which only some bytes would go goes as a whole. A null text stays null.
     """
-    import pandas as pd
-
     @F.pandas_udf("string")
     def cut(text: pd.Series, spans: pd.Series) -> pd.Series:
         clean: Callable = lambda t, s: without(t.encode("utf-8", "replace"), merged([{"a": x["a"], "b": x["b"]} for x in s])).decode("utf-8", "ignore")
