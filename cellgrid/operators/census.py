@@ -5,13 +5,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from cellgrid.functions.policy import LITERALS
+
 #: A call: a name right before a parenthesis, outside of quotes.
 _CALL = r"([A-Za-z_][A-Za-z0-9_.]*)\("
-#: Functions that are never executed, and those whose value changes by itself: fixed values.
-POLICY_LIMITED = (
-    "CALL CUBEKPIMEMBER CUBEMEMBER CUBEMEMBERPROPERTY CUBERANKEDMEMBER CUBESET CUBESETCOUNT CUBEVALUE DETECTLANGUAGE IMAGE "
-    "IMPORTCSV IMPORTTEXT REGISTER.ID RTD STOCKHISTORY TRANSLATE WEBSERVICE"
-).split()
+POLICY_LIMITED = list(LITERALS)
+#: Functions whose value changes by itself: fixed values.
 NONDETERMINISTIC = "NOW TODAY RAND RANDBETWEEN".split()
 VOLATILE = NONDETERMINISTIC + "OFFSET INDIRECT CELL INFO".split()
 

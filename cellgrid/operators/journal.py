@@ -5,14 +5,15 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-_BOOK = Window.partitionBy("book").orderBy("line_no")
+def _book():
+    return Window.partitionBy("book").orderBy("line_no")
 
 
 def links(receipts: DataFrame) -> DataFrame:
     """Each receipt with `linked`: its base is the hash before it and its revision grows; the first is."""
-    before = F.lag("result_hash").over(_BOOK)
-    ok = (F.col("base_hash") == before) & (F.col("rev") > F.lag("rev").over(_BOOK))
-    return receipts.withColumn("expected", before).withColumn("linked", F.row_number().over(_BOOK).eqNullSafe(F.lit(1)) | F.coalesce(ok, F.lit(False)))
+    before = F.lag("result_hash").over(_book())
+    ok = (F.col("base_hash") == before) & (F.col("rev") > F.lag("rev").over(_book()))
+    return receipts.withColumn("expected", before).withColumn("linked", F.row_number().over(_book()).eqNullSafe(F.lit(1)) | F.coalesce(ok, F.lit(False)))
 
 
 def breaks(receipts: DataFrame) -> DataFrame:

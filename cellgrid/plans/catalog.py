@@ -2,5 +2,7 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-SQL: dict = {}
+from cellgrid.plans import grid_queries, table_queries
+
+QUERIES: dict = grid_queries.QUERIES | table_queries.QUERIES
+SQL: dict = grid_queries.SQL | table_queries.SQL
