@@ -70,8 +70,8 @@ class ShardStore:
         if by is None:
             df.write.parquet(path)
         else:
-            apart = f"_by_{uuid.uuid4().hex}"  # in the folder's name only
-            df.withColumn(apart, F.col(by)).write.partitionBy(apart).parquet(path)
+            apart = f"_by_{uuid.uuid4().hex}"  # in the folders' names only; hashed, as a value may be no name
+            df.withColumn(apart, F.hex(F.xxhash64(by))).write.partitionBy(apart).parquet(path)
         found = self.spark.read.schema(df.schema).option("recursiveFileLookup", "true").parquet(path)
         seen = found.select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_size").alias("bytes"))
         return seen.groupBy("file", "bytes").agg(F.count("*").alias("rows")).select("file", "bytes", "rows", self._tier("bytes").alias("tier"))
