@@ -142,7 +142,7 @@ def test_a_large_group_of_near_copies_gives_few_links(spark):
     frame = spark.createDataFrame(rows, "doc_id long, text string")
     groups = neardup.groups(frame).collect()
     assert {r.group_id for r in groups} == {0}
-    sigs = neardup.signatures(frame).selectExpr("doc_id AS rep", "sig")
+    sigs = neardup.signatures(frame).withColumnRenamed("doc_id", "rep")
     assert neardup.links(sigs).count() < 2 * neardup.KEYS * 400
 
 
