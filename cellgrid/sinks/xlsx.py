@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import html
 import io
 import math
 import re
@@ -11,6 +12,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 
 from cellgrid.a1 import col_letters, col_number
+from cellgrid.operators.shift import offset_formula
 from cellgrid.sources.xlsx import read_parts, sheets_of
 
 _CELL = re.compile(r"<c\b([^>]*?)(?:/>|>.*?</c>)", re.DOTALL)
@@ -56,6 +58,7 @@ def edited_sheet(xml: str, edits: dict[tuple[int, int], tuple]) -> str:
             col = col_number(ref[1]) if ref else col + 1
             cells[col] = c[0]
         rows[at] = (r[1].strip(), cells)
+    _write_out_shared(rows, edits)
     for (row, col), (value, formula) in edits.items():
         attributes, cells = rows.setdefault(row, (f'r="{row}"', {}))
         style = re.search(r'\bs="\d+"', cells.get(col, "").split(">")[0])
@@ -70,6 +73,28 @@ def edited_sheet(xml: str, edits: dict[tuple[int, int], tuple]) -> str:
     return out
 
 
+_FORMULA = re.compile(r"<f\b([^>]*?)(?:/>|>(.*?)</f>)", re.DOTALL)
+
+
+def _write_out_shared(rows: dict[int, tuple[str, dict[int, str]]], edits: dict[tuple[int, int], tuple]) -> None:
+    """Gives cells that share an edited cell's formula a formula of their own."""
+    masters, others = {}, []
+    for row, (_, cells) in rows.items():
+        for col, xml in cells.items():
+            f = _FORMULA.search(xml)
+            if f and 't="shared"' in f[1] and (si := re.search(r'\bsi="(\d+)"', f[1])):
+                if f[2]:
+                    masters[si[1]] = (row, col, html.unescape(f[2]))
+                else:
+                    others.append((si[1], row, col))
+    for si, row, col in others:
+        if si in masters and masters[si][:2] in edits:
+            r0, c0, body = masters[si]
+            own = f"<f>{escaped(offset_formula(body, row - r0, col - c0))}</f>"
+            cells = rows[row][1]
+            cells[col] = _FORMULA.sub(lambda _, own=own: own, cells[col], count=1)
+
+
 def edited_book(content: bytes, edits: dict[tuple[str, int, int], tuple]) -> bytes:
     """A workbook with cells set: {(sheet, row, col): (value, formula or None)}. An edit of a sheet that isn't there is an error."""
     parts = read_parts(content)
