@@ -24,11 +24,11 @@ from pyspark.sql import functions as F
 from cellgrid.llm.cluster import drop_written, written
 
 TOP = 20
-LINKS = 20
-TREES, CODE_BITS, BLOCK = 4, 24, 512
-ROUNDS, SETTLED = 4, 0.02
-VISITORS = 64
-BEAM, EXPAND, STEPS = 64, 16, 4
+LINKS = 24
+TREES, CODE_BITS, BLOCK = 6, 24, 512
+ROUNDS, SETTLED = 8, 0.01
+VISITORS = 512
+BEAM, EXPAND, STEPS = 96, 24, 5
 
 
 def valid_vectors(table: DataFrame) -> DataFrame:
