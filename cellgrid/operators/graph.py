@@ -42,7 +42,8 @@ def certify(nodes: DataFrame, edges: DataFrame, new_nodes: DataFrame, new_edges:
     nodes: node, op; edges: node, pos, dep. No rows: the edited one is the same graph.
     """
     shared = names.groupBy("new").agg(F.count("*").alias("n")).filter("n > 1").join(names, "new").select("node", F.lit("not_injective").alias("problem"))
-    extra = new_nodes.join(names, new_nodes.node == names.new, "left_anti").select("node", F.lit("undeclared").alias("problem"))
+    made = new_nodes.select(F.col("node").alias("new"))
+    extra = made.join(names.select("new"), "new", "left_anti").select(F.col("new").alias("node"), F.lit("undeclared").alias("problem"))
     renamed = nodes.join(names, "node", "left")
     lost = renamed.join(new_nodes.select(F.col("node").alias("new")), "new", "left_anti").select("node", F.lit("missing").alias("problem"))
     other = renamed.join(new_nodes.select(F.col("node").alias("new"), F.col("op").alias("new_op")), "new").filter("not (op <=> new_op)").select("node", F.lit("op").alias("problem"))
