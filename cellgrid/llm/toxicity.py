@@ -60,9 +60,21 @@ def grams(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate(owners), np.concatenate(buckets)
 
 
-def spans_of(n: int) -> list[tuple[int, int]]:
-    """Spans of SPAN words, each STRIDE after the last, up to the text's end."""
-    return [(at, min(n, at + SPAN)) for at in range(0, max(1, n - SPAN + STRIDE), STRIDE)]
+def spans_of(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Starts and ends of spans of SPAN words, each STRIDE after the last, up to the text's end."""
+    begin = np.arange(0, max(1, n - SPAN + STRIDE), STRIDE)
+    return begin, np.minimum(n, begin + SPAN)
+
+
+def gram_table(words: list[str], at_once: int = 20_000) -> tuple[np.ndarray, np.ndarray]:
+    """(buckets of all words' n-grams in order of word, where each word's begin), made in parts to bound memory."""
+    parts, counts = [], []
+    for at in range(0, len(words), at_once):
+        part = words[at : at + at_once]
+        owner, bucket = grams(part)
+        parts.append(bucket[np.argsort(owner, kind="stable")].astype(np.int32))
+        counts.append(np.bincount(owner, minlength=len(part)))
+    return np.concatenate(parts), np.concatenate(([0], np.cumsum(np.concatenate(counts))))
 
 
 class Model:
@@ -95,8 +107,7 @@ class Model:
         worst = 0.0
         if words:
             sums = np.concatenate(([0.0], np.cumsum(self.margins(words))))
-            begin = np.arange(0, max(1, len(words) - SPAN + STRIDE), STRIDE)
-            end = np.minimum(len(words), begin + SPAN)
+            begin, end = spans_of(len(words))
             worst = float(((sums[end] - sums[begin]) / (end - begin)).max())
         return float(1 / (1 + np.exp(-np.clip(worst + self.bias, -50, 50))))
 
@@ -105,26 +116,27 @@ def train(texts: list[str], labels: list[int], seed: int = 7) -> Model:
     """A model of labelled texts."""
     rng = np.random.default_rng(seed)
     vocabulary: dict[str, int] = {}
-    docs = [np.array([vocabulary.setdefault(w, len(vocabulary)) for w in words_of(t)], np.int64) for t in texts]
+    docs = [np.array([vocabulary.setdefault(w, len(vocabulary)) for w in words_of(t)], np.int32) for t in texts]
     if not vocabulary or len(set(labels)) < 2:
         return Model(np.zeros(BUCKETS, np.float32), -50.0)
-    owner, bucket = grams(list(vocabulary))
-    order = np.argsort(owner, kind="stable")
-    bucket = bucket[order]
-    first = np.concatenate(([0], np.cumsum(np.bincount(owner, minlength=len(vocabulary)))))
+    bucket, first = gram_table(list(vocabulary))
     vectors = np.zeros((BUCKETS, DIM), np.float32)  # an n-gram never seen says nothing
     heads, bias = rng.normal(0, 0.3, (DIM, 2)).astype(np.float32), np.zeros(2, np.float32)
     speed_v, speed_h, speed_b = np.full((BUCKETS, 1), 1e-6, np.float32), np.full_like(heads, 1e-6), np.full_like(bias, 1e-6)
-    spans = [(d, a, b) for d, words in enumerate(docs) for a, b in spans_of(len(words))]
-    doc = np.array([s[0] for s in spans])
+    text = np.concatenate(docs)
+    places = [spans_of(len(d)) for d in docs]
+    base = np.cumsum([0] + [len(d) for d in docs[:-1]])
+    doc = np.repeat(np.arange(len(docs)), [len(p[0]) for p in places])
+    begin = np.concatenate([p[0] + at for p, at in zip(places, base, strict=True)])
+    size = np.concatenate([p[1] - p[0] for p in places])
     label = np.asarray(labels)[doc]
     toxic, clean = np.flatnonzero(label == 1), np.flatnonzero(label == 0)
 
     def step(rows: np.ndarray) -> None:
-        words = [docs[d][a:b] for d, a, b in (spans[r] for r in rows)]
-        sizes = np.array([len(w) for w in words])
+        sizes = size[rows]
         span = np.repeat(np.arange(len(rows)), sizes)
-        used, place = np.unique(np.concatenate(words), return_inverse=True)
+        inside = np.arange(len(span)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+        used, place = np.unique(text[np.repeat(begin[rows], sizes) + inside], return_inverse=True)
         count = first[used + 1] - first[used]
         word = np.repeat(np.arange(len(used)), count)
         at = np.arange(len(word)) - np.repeat(np.cumsum(count) - count, count) + np.repeat(first[used], count)
@@ -161,13 +173,16 @@ def train(texts: list[str], labels: list[int], seed: int = 7) -> Model:
 
     def worst(rows: np.ndarray, keep: int) -> np.ndarray:
         """The `keep` worst spans of each text among `rows`, as the model sees them now."""
-        margin = model().word_margins(list(vocabulary))
-        value = np.array([margin[docs[d][a:b]].mean() if b > a else 0.0 for d, a, b in (spans[r] for r in rows)])
+        now = model().table.astype(np.float32)
+        sums = np.concatenate(([0.0], np.cumsum(now[bucket], dtype=np.float64)))
+        margin = (sums[first[1:]] - sums[first[:-1]]) / np.maximum(1, np.diff(first))
+        sums = np.concatenate(([0.0], np.cumsum(margin[text])))
+        value = (sums[begin[rows] + size[rows]] - sums[begin[rows]]) / np.maximum(1, size[rows])
         order = np.lexsort((-value, doc[rows]))
         ranked = rows[order]
         texts_at = doc[ranked]
-        begin = np.concatenate(([True], texts_at[1:] != texts_at[:-1]))
-        rank = np.arange(len(ranked)) - np.maximum.accumulate(np.where(begin, np.arange(len(ranked)), 0))
+        new = np.concatenate(([True], texts_at[1:] != texts_at[:-1]))
+        rank = np.arange(len(ranked)) - np.maximum.accumulate(np.where(new, np.arange(len(ranked)), 0))
         return ranked[rank < keep]
 
     for turn in range(ROUNDS):
