@@ -8,8 +8,10 @@ byte positions with the bytes there (three shared bytes are the minimum that a p
 meet); pairs that meet and are close by their first 128 bits are verified on the shingle sets themselves.
 With 160 triples a pair at 0.8 is expected to meet in three of them, a pair at 0.9 in ten.
 
-Exact copies (equal shingle sequences) enter once. Inside a posting each document is linked to its
-closest one before and after it, so a posting of n near copies gives 2n links and not all pairs.
+Exact copies (equal shingle sequences) enter once. First each document is verified against its closest
+and its smallest partner over all postings, which joins a group of n near copies by 2n pairs. Then every
+pair that meets in a posting, is close, and is not joined yet is verified, so the groups are those of
+all pairs that meet.
 Null and empty texts have no shingles: they are copies of each other. Rows with equal doc_id count
 as one document. An empty table gives no rows.
 """
@@ -75,60 +77,131 @@ def signatures(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", "text").mapInArrow(run, f"doc_id long, {', '.join(n + ' long' for n in names)}, copy binary")
 
 
-def links(distinct: DataFrame, first: int = 0, last: int = KEYS) -> DataFrame:
-    """`distinct` (rep, s0, s1..) -> (a, b): pairs that share one of the triples of bytes first..last and differ in few bits."""
+def postings(distinct: DataFrame, first: int = 0, last: int = KEYS) -> DataFrame:
+    """`distinct` (rep, s0, s1..) -> (key, rep, s0.., near, apart, least): the rows that share one of the triples of bytes first..last
+    with a row that differs in few bits. near and least: the closest and the smallest of these,
+    apart: the bits to the closest. Postings of more than BLOCK
+    rows give all their rows; there near and least are of the row's block and the posting's smallest rows, and null if none is close."""
     byte = lambda at: F.shiftrightunsigned(f"s{at // 8}", 8 * (at % 8)).bitwiseAND(255)
     keys = [F.lit(k << 24) + byte(x) * 65536 + byte(y) * 256 + byte(z) for k, (x, y, z) in enumerate(triples().tolist()) if first <= k < last]
-    postings = distinct.select(F.explode(F.array(*keys)).alias("key"), "rep", *(f"s{w}" for w in range(SEEN)))
+    shared = distinct.select(F.explode(F.array(*keys)).alias("key"), "rep", *(f"s{w}" for w in range(SEEN)))
+    names = [*shared.columns, "near", "apart", "least"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for key, rep, *words in _whole_groups(batches, 1):
+            sig = np.stack([w.view(np.uint64) for w in words], axis=1)
+            ends = _ends(key)
+            at, sizes = ends[:-1], np.diff(ends)
+            two = at[sizes == 2]
+            two = two[np.bitwise_count(sig[two] ^ sig[two + 1]).sum(axis=1) <= DIFFERING]
+            rows, near = [np.concatenate((two, two + 1))], [np.concatenate((two + 1, two))]
+            least = [near[0]]
+            for i, size in zip(at[sizes > 2].tolist(), sizes[sizes > 2].tolist(), strict=True):
+                x, y, z = closest(sig[i : i + size])
+                rows.append(x + i)
+                near.append(np.where(y < 0, -1, y + i))
+                least.append(np.where(z < 0, -1, z + i))
+            rows, near, least = map(np.concatenate, (rows, near, least))
+            apart = np.bitwise_count(sig[rows] ^ sig[near]).sum(axis=1).astype(np.int32)
+            ends = [pa.array(rep[near], mask=near < 0), pa.array(apart, mask=near < 0), pa.array(rep[least], mask=least < 0)]
+            yield pa.RecordBatch.from_arrays([pa.array(c[rows]) for c in (key, rep, *words)] + ends, names=names)
+
+    schema = "key long, rep long, " + ", ".join(f"s{w} long" for w in range(SEEN)) + ", near long, apart int, least long"
+    shared = shared.withColumn("key", F.col("key").cast("long"))
+    return shared.repartition("key").sortWithinPartitions("key", "rep").mapInArrow(run, schema)
+
+
+def closest(sig: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(rows, near, least) of one posting: see `postings`; -1 stands for none."""
+    rows, near, least = [], [], []
+    heads = np.arange(min(len(sig), 256)) if len(sig) > BLOCK else np.arange(0)
+    for at in range(0, len(sig), BLOCK):
+        own = np.arange(at, min(at + BLOCK, len(sig)))
+        others = np.concatenate((heads, own))
+        apart = _apart(sig[own], sig[others])
+        apart[own[:, None] == others[None, :]] = 9999
+        ok = apart <= DIFFERING
+        some = ok.any(axis=1)
+        keep = some | (len(sig) > BLOCK)
+        rows.append(own[keep])
+        near.append(np.where(some, others[apart.argmin(axis=1)], -1)[keep])
+        least.append(np.where(some, others[ok.argmax(axis=1)], -1)[keep])
+    return np.concatenate(rows), np.concatenate(near), np.concatenate(least)
+
+
+def _apart(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """The number of bits in which each row of x differs from each row of y."""
+    apart = np.zeros((len(x), len(y)), np.int16)
+    for w in range(x.shape[1]):
+        apart += np.bitwise_count(x[:, w][:, None] ^ y[:, w][None, :])
+    return apart
+
+
+def links(distinct: DataFrame, first: int = 0, last: int = KEYS) -> DataFrame:
+    """`distinct` (rep, s0, s1..) -> (a, b): a row and its closest and smallest partner of each posting."""
+    return _first_links(postings(distinct, first, last)).distinct()
+
+
+def _first_links(held: DataFrame) -> DataFrame:
+    """(a, b) from the near and least of `postings`."""
+    return held.select(F.col("rep").alias("a"), F.explode(F.array("near", "least")).alias("b")).filter("b is not null")
+
+
+def apart_pairs(held: DataFrame, roots: DataFrame) -> DataFrame:
+    """(a, b): every pair of a posting of `held` that differs in few bits and is not connected in `roots` (node, component).
+
+    Postings within one component have none. A posting of more than BLOCK rows is dealt out as blocks against blocks.
+    """
+    known = held.join(roots, held.rep == roots.node, "left").select("key", "rep", *(f"s{w}" for w in range(SEEN)), F.coalesce("component", "rep").alias("component"))
+    mixed = known.groupBy("key").agg(F.ceil(F.count("*") / BLOCK).alias("blocks"), F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo < hi")
+    known = known.join(mixed.select("key", "blocks"), "key").withColumn("block", F.pmod(F.xxhash64("rep"), "blocks"))
+    known = known.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
+    dealt = known.select("key", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "rep", "component", *(f"s{w}" for w in range(SEEN)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list = [np.empty(0, np.int64), np.empty(0, np.int64), np.empty((0, SEEN), np.uint64)]
-        for batch in _and_last(batches):
-            if batch is not None and batch.num_rows:
-                sig = np.stack([batch.column(2 + w).to_numpy().view(np.uint64) for w in range(SEEN)], axis=1)
-                new = [batch.column(0).to_numpy(), batch.column(1).to_numpy(), sig]
-                held = [np.concatenate(c) for c in zip(held, new, strict=True)]
-            key, rep, sig = held
-            if not len(key):
-                continue
-            cuts = np.flatnonzero(key[1:] != key[:-1]) + 1
-            ends = np.concatenate(([0], cuts, [len(key)] if batch is None else [])).astype(np.int64)
-            sizes = np.diff(ends)
-            a, b = [], []
-            two = ends[:-1][sizes == 2]
-            near = np.bitwise_count(sig[two] ^ sig[two + 1]).sum(axis=1) <= DIFFERING
-            a.append(rep[two[near]])
-            b.append(rep[two[near] + 1])
-            for at, size in zip(ends[:-1][sizes > 2].tolist(), sizes[sizes > 2].tolist(), strict=True):
-                x, y = closest(sig[at : at + size])
-                a.append(rep[at + x])
-                b.append(rep[at + y])
-            held = [c[ends[-1] :] for c in held]
+        for key, i, j, block, rep, component, *words in _whole_groups(batches, 3):
+            sig = np.stack([w.view(np.uint64) for w in words], axis=1)
+            ends = _ends(key, i, j)
+            a, b = [rep[:0]], [rep[:0]]
+            for at, end in zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True):
+                for low in range(at, end, 512):
+                    own, all_ = slice(low, min(low + 512, end)), slice(at, end)
+                    ok = (_apart(sig[own], sig[all_]) <= DIFFERING) & (component[own][:, None] != component[all_][None, :]) & (rep[own][:, None] < rep[all_][None, :])
+                    if i[at] != j[at]:
+                        ok &= block[own][:, None] != block[all_][None, :]
+                    x, y = np.nonzero(ok)
+                    a.append(rep[own][x])
+                    b.append(rep[all_][y])
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(a)), pa.array(np.concatenate(b))], names=["a", "b"])
 
-    sorted_postings = postings.repartition("key").sortWithinPartitions("key", "rep")
-    return sorted_postings.mapInArrow(run, "a long, b long").filter("a <> b").distinct()
-
-
-def closest(sig: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Links of each row to the closest rows before and after it. Blocks keep a large posting's work in proportion:
-    it is ordered by signature first, and each block is also compared with the first rows of all."""
-    order = np.lexsort(sig.T) if len(sig) > BLOCK else np.arange(len(sig))
-    froms, tos = [], []
-    heads = order[:: max(1, len(order) // 256)][:256] if len(sig) > BLOCK else order[:0]
-    for at in range(0, len(order), BLOCK):
-        rows = order[at : at + BLOCK]
-        others = np.concatenate((rows, heads))
-        apart = np.zeros((len(rows), len(others)), np.int16)
-        for w in range(sig.shape[1]):
-            apart += np.bitwise_count(sig[rows, w][:, None] ^ sig[others, w][None, :])
-        for side in (others[None, :] < rows[:, None], others[None, :] > rows[:, None]):
-            d = np.where(side, apart, np.int16(9999))
-            best = d.argmin(axis=1)
-            ok = d[np.arange(len(rows)), best] <= DIFFERING
-            froms.append(rows[ok])
-            tos.append(others[best[ok]])
-    return np.concatenate(froms), np.concatenate(tos)
+    return dealt.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j").mapInArrow(run, "a long, b long").distinct()
+
+
+def _ends(*keys: np.ndarray) -> np.ndarray:
+    """Where groups of equal keys begin, and the end."""
+    new = np.any([k[1:] != k[:-1] for k in keys], axis=0)
+    return np.concatenate(([0], np.flatnonzero(new) + 1, [len(keys[0])]))
+
+
+def _whole_groups(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[list[np.ndarray]]:
+    """The columns of sorted batches, cut so that rows that are equal in the first `keys` columns stay together."""
+    held: list = []  # parts that have no end of a group yet
+    for batch in _and_last(batches):
+        new = [] if batch is None else [c.to_numpy() for c in batch.columns]
+        if batch is not None and not batch.num_rows:
+            continue
+        if new and held and all(new[k][-1] == held[0][k][0] for k in range(keys)):
+            held.append(new)
+            continue
+        columns = [np.concatenate(c) for c in zip(*held, new, strict=True)] if held and new else new
+        if batch is None:
+            if held:
+                yield [np.concatenate(c) for c in zip(*held, strict=True)]
+            return
+        cut = _ends(*columns[:keys])[-2]
+        if cut:
+            yield [c[:cut] for c in columns]
+        held = [[c[cut:] for c in columns]]
 
 
 def _and_last(batches: Iterator) -> Iterator:
@@ -149,22 +222,27 @@ def _shingle_sets(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", "text").mapInArrow(run, "node long, shingles array<long>")
 
 
+def _alike(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """Those of `pairs` (a, b) whose sets reach SIMILARITY."""
+    pairs = pairs.join(sets.select(F.col("node").alias("a"), F.col("shingles").alias("x")), "a").join(sets.select(F.col("node").alias("b"), F.col("shingles").alias("y")), "b")
+    both = F.size(F.array_intersect("x", "y"))
+    return pairs.filter(both >= SIMILARITY * (F.size("x") + F.size("y") - both)).select("a", "b")
+
+
 def groups(docs: DataFrame) -> DataFrame:
     """`docs` (doc_id, text) -> (doc_id, group_id): the smallest doc_id that a document is a near copy of, directly or not."""
     docs = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(-(2**63))).alias("doc_id"), F.col("text").cast("string").alias("text"))
     sigs = written(signatures(docs), "signatures")
     distinct = written(sigs.groupBy("copy").agg(F.min("doc_id").alias("rep"), *(F.first(f"s{w}").alias(f"s{w}") for w in range(WORDS))), "signatures-once")
-    batches = [written(links(distinct, k, k + KEYS_AT_ONCE), "neardup-links") for k in range(0, KEYS, KEYS_AT_ONCE)]
-    found = written(reduce(DataFrame.unionByName, batches).distinct(), "neardup-links")
-    met = found.select(F.col("a").alias("doc_id")).unionByName(found.select(F.col("b").alias("doc_id"))).distinct()
-    sets = written(_shingle_sets(docs.join(met, "doc_id", "left_semi")), "shingles")
-    pairs = found.join(sets.select(F.col("node").alias("a"), F.col("shingles").alias("x")), "a").join(
-        sets.select(F.col("node").alias("b"), F.col("shingles").alias("y")), "b"
-    )
-    both = F.size(F.array_intersect("x", "y"))
-    alike = pairs.filter(both >= SIMILARITY * (F.size("x") + F.size("y") - both)).select("a", "b")
-    roots = components(written(alike, "neardup-alike"))
+    batches = [written(postings(distinct, k, k + KEYS_AT_ONCE), "neardup-postings") for k in range(0, KEYS, KEYS_AT_ONCE)]
+    held = reduce(DataFrame.unionByName, batches)
+    sets = written(_shingle_sets(docs.join(held.select(F.col("rep").alias("doc_id")).distinct(), "doc_id", "left_semi")), "shingles")
+    one = held.groupBy("rep").agg(F.min_by("near", F.struct("apart", "near")).alias("near"), F.min("least").alias("least"))
+    first = components(written(_alike(_first_links(one).filter("a <> b").distinct(), sets), "neardup-alike"))
+    rest = written(_alike(written(apart_pairs(held, first), "neardup-links"), sets), "neardup-alike")
+    drop_written(held)
     drop_written(sets)
+    roots = components(first.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(rest))
     classes = distinct.join(roots, F.col("rep") == F.col("node"), "left").select("copy", F.coalesce("component", "rep").alias("group_id"))
     return sigs.join(classes, "copy").groupBy("doc_id").agg(F.min("group_id").alias("group_id"))
 

@@ -294,3 +294,39 @@ def test_shards_are_merged_and_versions_are_kept(spark, tmp_path):
 def test_rows_of_every_kind_are_sharded(spark, docs, tmp_path):
     got = sharding.sharded(docs.drop("n_chars"), f"file://{tmp_path}/s", by="text")
     assert sorted(((r.doc_id, r.text) for r in got.collect()), key=repr) == sorted(ROWS, key=repr)
+
+
+def brute_groups(frame):
+    """id -> least id of its group, by all pairs that share a triple, are close by their first bits and reach the similarity."""
+    rows = {r.doc_id: r for r in neardup.signatures(frame).collect()}
+    sets = {r.doc_id: set(simhash.shingle_hashes(r.text, neardup.SHINGLE).tolist()) for r in frame.collect()}
+    ids = sorted(rows)
+    sigs = np.array([[rows[i][f"s{w}"] for w in range(neardup.WORDS)] for i in ids], np.int64).view(np.uint64)
+    shared = sigs.view(np.uint8).reshape(len(ids), -1)[:, neardup.triples()]
+    label = {i: i for i in ids}
+    for x, i in enumerate(ids):
+        meets = (shared[x] == shared[x + 1 :]).all(axis=2).any(axis=1)
+        close = np.bitwise_count(sigs[x, : neardup.SEEN] ^ sigs[x + 1 :, : neardup.SEEN]).sum(axis=1) <= neardup.DIFFERING
+        for j in np.array(ids)[x + 1 :][meets & close].tolist():
+            both = len(sets[i] & sets[j])
+            if both >= neardup.SIMILARITY * len(sets[i] | sets[j]) and label[i] != label[j]:
+                low, high = sorted((label[i], label[j]))
+                label = {k: low if v == high else v for k, v in label.items()}
+    return label
+
+
+@pytest.mark.parametrize("block", [2048, 32])
+def test_copies_that_are_alike_only_by_their_original(spark, monkeypatch, block):
+    monkeypatch.setattr(neardup, "BLOCK", block)
+    base = prose(40, 200).split()
+    rng = random.Random(41)
+    rows = [(200, " ".join(base))]
+    for i in range(400):
+        copy = base.copy()
+        for part in range(2, 200, 50):
+            copy[rng.randrange(part, part + 45)] = f"edit{rng.randrange(10**9)}"
+        rows.append((i if i < 200 else i + 1, " ".join(copy)))
+    frame = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    got = {r.doc_id: r.group_id for r in neardup.groups(frame).collect()}
+    assert got == brute_groups(frame)
+    assert max(Counter(got.values()).values()) > 350
