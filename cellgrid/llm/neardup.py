@@ -8,7 +8,7 @@ byte positions with the bytes there (three shared bytes are the minimum that a p
 meet); pairs that meet and are close by their first 128 bits are verified on the shingle sets themselves.
 With 160 triples a pair at 0.8 is expected to meet in three of them, a pair at 0.9 in ten.
 
-Exact copies (equal shingle sequences) enter once. First each document is verified against its closest
+Exact copies (equal shingle sets) enter once. First each document is verified against its closest
 and its smallest partner over all postings, which joins a group of n near copies by 2n pairs. Then every
 pair that meets in a posting, is close, and is not joined yet is verified, so the groups are those of
 all pairs that meet.
@@ -64,12 +64,12 @@ def triples() -> np.ndarray:
 
 
 def signatures(docs: DataFrame) -> DataFrame:
-    """(doc_id, s0, s1.., copy): the signature's words and a 128-bit digest of the shingle sequence."""
+    """(doc_id, s0, s1.., copy): the signature's words and a 128-bit digest, both of the set of shingles."""
     names = [f"s{w}" for w in range(WORDS)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            hashes = [shingle_hashes(text.as_py(), SHINGLE) for text in batch.column(1)]
+            hashes = [np.unique(shingle_hashes(text.as_py(), SHINGLE)) for text in batch.column(1)]
             sigs = np.array([signature(h) for h in hashes], np.uint64).reshape(-1, WORDS).view(np.int64)
             copies = pa.array([xxhash.xxh3_128_digest(h.tobytes()) for h in hashes], pa.binary())
             yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(sigs[:, w].copy()) for w in range(WORDS)), copies], names=["doc_id", *names, "copy"])

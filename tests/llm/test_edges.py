@@ -330,3 +330,13 @@ def test_copies_that_are_alike_only_by_their_original(spark, monkeypatch, block)
     got = {r.doc_id: r.group_id for r in neardup.groups(frame).collect()}
     assert got == brute_groups(frame)
     assert max(Counter(got.values()).values()) > 350
+
+
+def test_near_copies_are_told_by_sets(spark):
+    """A list repeated twice or forty times: the same or almost the same set of shingles."""
+    base, item = prose(50, 300), prose(51, 8)
+    rows = [(1, f"{base} {item} {item}"), (2, f"{base} {' '.join([item] * 40)}"), (3, f"{base} {' '.join([item] * 40)} end")]
+    sigs = {r.doc_id: r for r in neardup.signatures(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    apart = lambda x, y: sum(((sigs[x][f"s{w}"] ^ sigs[y][f"s{w}"]) & (2**64 - 1)).bit_count() for w in range(neardup.WORDS))
+    assert sigs[1].copy == sigs[2].copy and apart(1, 2) == 0
+    assert sigs[2].copy != sigs[3].copy and apart(2, 3) < 0.1 * 64 * neardup.WORDS
