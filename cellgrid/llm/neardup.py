@@ -12,8 +12,8 @@ Exact copies (equal shingle sets) enter once. First each document is verified ag
 and its smallest partner over all postings, which joins a group of n near copies by 2n pairs. Then every
 pair that meets in a posting, is close, and is not joined yet is verified, so the groups are those of
 all pairs that meet.
-Null and empty texts have no shingles: they are copies of each other. Rows with equal doc_id count
-as one document. An empty table gives no rows.
+Null and empty texts have no shingles: they are copies of each other. Rows with equal or null doc_id
+are documents of their own where their texts differ. An empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -24,7 +24,7 @@ from functools import reduce
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from cellgrid.llm.cluster import drop_written, written
@@ -63,18 +63,18 @@ def triples() -> np.ndarray:
     return np.concatenate(laps)[:KEYS]
 
 
-def signatures(docs: DataFrame) -> DataFrame:
-    """(doc_id, s0, s1.., copy): the signature's words and a 128-bit digest, both of the set of shingles."""
+def signatures(docs: DataFrame, *more: str) -> DataFrame:
+    """(doc_id, long columns `more`, s0, s1.., copy): the signature's words and a 128-bit digest, both of the set of shingles."""
     names = [f"s{w}" for w in range(WORDS)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            hashes = [np.unique(shingle_hashes(text.as_py(), SHINGLE)) for text in batch.column(1)]
+            hashes = [np.unique(shingle_hashes(text.as_py(), SHINGLE)) for text in batch.column(batch.num_columns - 1)]
             sigs = np.array([signature(h) for h in hashes], np.uint64).reshape(-1, WORDS).view(np.int64)
             copies = pa.array([xxhash.xxh3_128_digest(h.tobytes()) for h in hashes], pa.binary())
-            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(sigs[:, w].copy()) for w in range(WORDS)), copies], names=["doc_id", *names, "copy"])
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], *(pa.array(sigs[:, w].copy()) for w in range(WORDS)), copies], names=["doc_id", *more, *names, "copy"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id long, {', '.join(n + ' long' for n in names)}, copy binary")
+    return docs.select("doc_id", *more, "text").mapInArrow(run, f"doc_id long, {', '.join(n + ' long' for n in (*more, *names))}, copy binary")
 
 
 def postings(distinct: DataFrame, first: int = 0, last: int = KEYS) -> DataFrame:
@@ -210,7 +210,7 @@ def _and_last(batches: Iterator) -> Iterator:
 
 
 def _shingle_sets(docs: DataFrame) -> DataFrame:
-    """(node, shingles): the set of hashed shingles of each document."""
+    """`docs` (node, text) -> (node, shingles): the set of hashed shingles of each document."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -219,7 +219,7 @@ def _shingle_sets(docs: DataFrame) -> DataFrame:
             values = pa.array(np.concatenate(sets) if sets else np.empty(0, np.int64))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.ListArray.from_arrays(pa.array(offsets), values)], names=["node", "shingles"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, "node long, shingles array<long>")
+    return docs.select("node", "text").mapInArrow(run, "node long, shingles array<long>")
 
 
 def _alike(pairs: DataFrame, sets: DataFrame) -> DataFrame:
@@ -229,33 +229,48 @@ def _alike(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return pairs.filter(both >= SIMILARITY * (F.size("x") + F.size("y") - both)).select("a", "b")
 
 
-def groups(docs: DataFrame) -> DataFrame:
-    """`docs` (doc_id, text) -> (doc_id, group_id): the smallest doc_id that a document is a near copy of, directly or not."""
-    docs = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(-(2**63))).alias("doc_id"), F.col("text").cast("string").alias("text"))
-    sigs = written(signatures(docs), "signatures")
-    distinct = written(sigs.groupBy("copy").agg(F.min("doc_id").alias("rep"), *(F.first(f"s{w}").alias(f"s{w}") for w in range(WORDS))), "signatures-once")
+def _keyed(docs: DataFrame, *more: Column) -> DataFrame:
+    """doc_id (null: the least), text and a key of both."""
+    doc_id, text = F.col("doc_id").cast("long"), F.col("text").cast("string")
+    return docs.select(F.coalesce(doc_id, F.lit(-(2**63))).alias("doc_id"), F.xxhash64(doc_id, F.coalesce(text, F.lit(""))).alias("row"), text.alias("text"), *more)
+
+
+def _members(docs: DataFrame) -> DataFrame:
+    """`docs` (doc_id, text) -> (doc_id, row, component) per row: a number of its group of near copies. Nodes are distinct sets of shingles."""
+    docs = _keyed(docs)
+    sigs = written(signatures(docs, "row"), "signatures")
+    once = sigs.groupBy("copy").agg(F.min("row").alias("row"), *(F.first(f"s{w}").alias(f"s{w}") for w in range(WORDS)))
+    distinct = written(once.withColumn("rep", F.monotonically_increasing_id()), "signatures-once")
     batches = [written(postings(distinct, k, k + KEYS_AT_ONCE), "neardup-postings") for k in range(0, KEYS, KEYS_AT_ONCE)]
     held = reduce(DataFrame.unionByName, batches)
-    sets = written(_shingle_sets(docs.join(held.select(F.col("rep").alias("doc_id")).distinct(), "doc_id", "left_semi")), "shingles")
+    met = distinct.join(held.select("rep").distinct(), "rep", "left_semi").select("row", F.col("rep").alias("node"))
+    sets = written(_shingle_sets(docs.join(met, "row")).dropDuplicates(["node"]), "shingles")
     one = held.groupBy("rep").agg(F.min_by("near", F.struct("apart", "near")).alias("near"), F.min("least").alias("least"))
     first = components(written(_alike(_first_links(one).filter("a <> b").distinct(), sets), "neardup-alike"))
     rest = written(_alike(written(apart_pairs(held, first), "neardup-links"), sets), "neardup-alike")
     drop_written(held)
     drop_written(sets)
     roots = components(first.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(rest))
-    classes = distinct.join(roots, F.col("rep") == F.col("node"), "left").select("copy", F.coalesce("component", "rep").alias("group_id"))
-    return sigs.join(classes, "copy").groupBy("doc_id").agg(F.min("group_id").alias("group_id"))
+    classes = distinct.join(roots, F.col("rep") == F.col("node"), "left").select("copy", F.coalesce("component", "rep").alias("component"))
+    return sigs.join(classes, "copy").select("doc_id", "row", "component")
+
+
+def groups(docs: DataFrame) -> DataFrame:
+    """`docs` (doc_id, text) -> (doc_id, group_id): the smallest doc_id that a document is a near copy of, directly or not."""
+    members = _members(docs)
+    least = members.groupBy("component").agg(F.min("doc_id").alias("group_id"))
+    return members.join(least, "component").groupBy("doc_id").agg(F.min("group_id").alias("group_id"))
 
 
 def keep_first(docs: DataFrame) -> DataFrame:
     """The rows of `docs`, all columns as they are, that stand for their group: one each.
 
-    Of rows with the group's smallest doc_id the least by text stays.
+    The row with the group's smallest doc_id stays, of several texts under it the one of the least key.
     """
-    key = F.coalesce(F.col("doc_id").cast("long"), F.lit(-(2**63)))
-    stay = groups(docs).filter("doc_id = group_id").select(F.col("doc_id").alias("stay_id"))
-    whole = docs.select(F.struct(*(docs[c] for c in docs.columns)).alias("whole"), key.alias("key"))
-    kept = whole.join(stay, whole.key == stay.stay_id, "left_semi")
-    order = Window.partitionBy("key").orderBy(F.col("whole.text"))
+    stay = _members(docs).groupBy("component").agg(F.min(F.struct("doc_id", "row")).alias("first"))
+    stay = stay.select(F.col("first.doc_id").alias("stay_id"), F.col("first.row").alias("stay_row"))
+    whole = _keyed(docs, F.struct(*(docs[c] for c in docs.columns)).alias("whole")).select("doc_id", "row", "whole")
+    kept = whole.join(stay, (F.col("doc_id") == F.col("stay_id")) & (F.col("row") == F.col("stay_row")), "left_semi")
+    order = Window.partitionBy("doc_id", "row").orderBy(F.col("whole.text"))
     kept = kept.withColumn("k", F.row_number().over(order)).filter("k = 1")
     return kept.select(*(F.col("whole")[c].alias(c) for c in docs.columns))

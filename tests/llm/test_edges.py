@@ -340,3 +340,12 @@ def test_near_copies_are_told_by_sets(spark):
     apart = lambda x, y: sum(((sigs[x][f"s{w}"] ^ sigs[y][f"s{w}"]) & (2**64 - 1)).bit_count() for w in range(neardup.WORDS))
     assert sigs[1].copy == sigs[2].copy and apart(1, 2) == 0
     assert sigs[2].copy != sigs[3].copy and apart(2, 3) < 0.1 * 64 * neardup.WORDS
+
+
+def test_texts_under_equal_or_null_ids_stay(spark):
+    one, two, near = prose(60, 80), prose(61, 80), prose(62, 80)
+    rows = [(1, near), (7, one), (7, two), (7, near), (None, prose(63, 80)), (None, prose(64, 80)), (None, one), (9, two), (None, None), (8, "")]
+    kept = neardup.keep_first(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    texts = [r.text or "" for r in kept]
+    assert sorted(texts) == sorted({t or "" for _, t in rows})
+    assert {(r.doc_id, r.text) for r in kept} == {(1, near), (None, one), (7, two), (None, prose(63, 80)), (None, prose(64, 80)), (None, None)}
