@@ -53,6 +53,13 @@ for _code, _sql in _AGG_SQL.items():
     query(f"SELECT l_returnflag, {_sql} v FROM lineitem{_where} GROUP BY 1", f"agg_{_code:02d}")(_agg(_code))
 
 
+@query("SELECT l_orderkey, round(exp(sum(ln(1 + l_discount))), 6) v FROM lineitem GROUP BY 1")
+def agg_06_by_order(spark, sf_dir):
+    """PRODUCT over all lines; an order's product stays finite."""
+    lines = table(spark, sf_dir, "lineitem").withColumn("f", 1 + F.col("l_discount"))
+    return lines.groupBy("l_orderkey").agg(F.round(aggregate.aggregate(6, "f"), 6).alias("v"))
+
+
 @query("SELECT l_returnflag, mode v FROM (SELECT l_returnflag, l_quantity AS mode, row_number() OVER (PARTITION BY l_returnflag ORDER BY count(*) DESC, l_quantity) k FROM lineitem GROUP BY 1, 2) WHERE k = 1")
 def agg_13(spark, sf_dir):
     return table(spark, sf_dir, "lineitem").groupBy("l_returnflag").agg(aggregate.aggregate(13, "l_quantity").alias("v"))
