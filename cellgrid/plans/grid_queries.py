@@ -255,6 +255,18 @@ def range_contains(spark, sf_dir):
     return graph.range_contains(areas, points).groupBy("id").agg(F.count("*").alias("n"))
 
 
+@query(
+    "SELECT a.o_orderkey AS id, count(*) n FROM (SELECT o_orderkey, o_orderkey r1, o_orderkey + o_orderkey % 40 r2, 2 c1, 4 c2 FROM orders) a "
+    "JOIN (SELECT o_orderkey r, CAST(o_custkey % 6 AS INTEGER) c FROM orders) b ON b.r BETWEEN a.r1 AND a.r2 AND b.c BETWEEN a.c1 AND a.c2 GROUP BY 1"
+)
+def range_contains_all(spark, sf_dir):
+    """The areas of all orders."""
+    orders = table(spark, sf_dir, "orders")
+    areas = orders.selectExpr("o_orderkey AS id", "o_orderkey AS r1", "o_orderkey + o_orderkey % 40 AS r2", "2 AS c1", "4 AS c2")
+    points = orders.selectExpr("o_orderkey AS row", "o_custkey % 6 AS col")
+    return graph.range_contains(areas, points).groupBy("id").agg(F.count("*").alias("n"))
+
+
 _LINKED = (
     f"WITH {RECEIPTS_SQL}, l AS (SELECT *, lag(result_hash) OVER w AS expected, lag(rev) OVER w AS past, row_number() OVER w AS i FROM receipts WINDOW w AS (PARTITION BY book ORDER BY line_no)), "
     "k AS (SELECT *, i = 1 OR coalesce(base_hash = expected AND rev > past, false) AS linked FROM l) "
