@@ -1,12 +1,13 @@
 """SimHash near-duplicates over a byte-position inverted index with count filtering.
 
 Two 64-bit fingerprints that differ in at most three bits share at least five of their eight bytes
-in place. The index therefore counts by construction: its postings are the 56 choices of five byte
-positions with the bytes there, and a pair meets in a posting exactly if its tally of shared
-positional bytes reaches that guaranteed five. (Postings of single bytes would hold a 256th of all
-fingerprints each, so their pairs grow with the square of the input.) Pairs that meet are verified
-on all 64 bits. Only distinct fingerprints enter, and a posting fixes 40 bits, so it can hold no
-more than 2**24 of them whatever the input; inside one, links are kept as a spanning forest.
+in place. The index holds, for each of 14 choices of four byte positions, the bytes there; the
+choices are the blocks of the Steiner system S(3, 4, 8): any three positions lie in one block, whose
+complement is a block too, so wherever three bits differ, one block's four bytes are shared. (Postings
+of single bytes would hold a 256th of all fingerprints each, so their pairs grow with the square of
+the input.) For the pairs that meet, shared positional bytes are tallied; pairs with the guaranteed
+five are verified on all 64 bits. Only distinct fingerprints enter, a posting fixes 32 bits, and
+inside one, links are kept as a spanning forest, so a group of near copies never becomes its pairs.
 
 Null and empty texts and texts of white space have the fingerprint zero. Rows with equal doc_id
 count as one document of that id for its component. An empty table gives no rows. Other columns are
@@ -69,21 +70,34 @@ def fingerprints(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
 
 
 def _posting_masks(distance: int) -> list[int]:
-    """A mask for each choice of byte positions that a pair within `distance` bits is sure to share."""
-    masks = [sum(0xFF << (8 * b) for b in kept) for kept in combinations(range(8), 8 - distance)]
+    """Masks of byte positions such that any pair within `distance` bits shares all bytes of one."""
+    if distance == 3:  # the blocks of S(3, 4, 8)
+        kept = [c for c in combinations(range(8), 4) if c[0] ^ c[1] ^ c[2] ^ c[3] == 0]
+    else:
+        kept = list(combinations(range(8), 8 - distance))
+    masks = [sum(0xFF << (8 * b) for b in c) for c in kept]
     return [m - (1 << 64) if m >> 63 else m for m in masks]
 
 
+def linked(x: np.ndarray, y: np.ndarray, distance: int) -> np.ndarray:
+    """Whether pairs of fingerprints tally enough shared positional bytes and, verified, differ in at most `distance` bits."""
+    apart = np.ascontiguousarray(x ^ y)
+    near = (apart[..., None].view(np.uint8) == 0).sum(axis=-1, dtype=np.uint8) >= 8 - distance
+    near[near] = np.bitwise_count(apart[near]) <= distance
+    return near
+
+
 def forest(fps: np.ndarray, distance: int, free: int) -> np.ndarray:
     """For each of the distinct sorted `fps`, the least index that it is linked with, directly or through others.
 
-    free: mask of the bits in which they can differ. Small postings compare all; large ones look up
-    each change of up to `distance` free bits, so the work grows with their size and not its square.
+    free: mask of the bits in which they can differ. Small postings tally all pairs; large ones look up
+    each change of up to `distance` free bits (which leaves the other bytes shared), so the work grows
+    with their size and not its square.
     """
     n = len(fps)
     label = np.arange(n)
     if n <= 1024:
-        near = np.bitwise_count(fps[:, None] ^ fps[None, :]) <= distance
+        near = linked(fps[:, None], fps[None, :], distance)
         while True:
             new = np.where(near, label[None, :], n).min(axis=1)
             new = np.minimum(new, new[new])
@@ -126,15 +140,15 @@ def links(distinct: DataFrame, distance: int = DISTANCE) -> DataFrame:
             sizes = np.diff(edges)
             a, b = [], []
             pairs = edges[:-1][sizes == 2]
-            near = np.bitwise_count((fp[pairs] ^ fp[pairs + 1]).view(np.uint64)) <= distance
+            near = linked(fp[pairs].view(np.uint64), fp[pairs + 1].view(np.uint64), distance)
             a.append(fp[pairs[near]])
             b.append(fp[pairs[near] + 1])
             for at, size in zip(edges[:-1][sizes > 2].tolist(), sizes[sizes > 2].tolist(), strict=True):
                 own = np.sort(fp[at : at + size].view(np.uint64))
                 root = forest(own, distance, ~masks[int(place[at])] & (2**64 - 1))
-                linked = root != np.arange(size)
-                a.append(own[linked].view(np.int64))
-                b.append(own[root[linked]].view(np.int64))
+                tied = root != np.arange(size)
+                a.append(own[tied].view(np.int64))
+                b.append(own[root[tied]].view(np.int64))
             held = [x[edges[-1] :] for x in held]
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(a)), pa.array(np.concatenate(b))], names=["a", "b"])
 
