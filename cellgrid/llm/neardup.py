@@ -5,15 +5,26 @@ more. Such pairs differ in about 15 of 100 SimHash bits, so no number of equal b
 fingerprint is guaranteed, and a fingerprint of 768 bits is used. At similarity 0.8 a pair shares
 about 26 of its 96 bytes in place, a pair of unrelated documents 0.4. The index holds KEYS triples of
 byte positions with the bytes there (three shared bytes are the minimum that a pair must reach to
-meet); pairs that meet and are close by their first 128 bits are verified on the shingle sets themselves.
-With 160 triples a pair at 0.8 is expected to meet in three of them, a pair at 0.9 in ten.
+meet); pairs that meet are counted as related if their first 128 bits are close. With 160 triples a
+pair at 0.8 is expected to meet in three of them, a pair at 0.9 in ten.
+
+Exact copies (equal shingle sets) enter once. A posting gives a spanning forest of its related rows,
+one link a row, never its pairs; related documents, directly or through others, are a family. Inside
+a family verification is exact and its work stays near its size:
+
+1. every document is verified against its smallest relative, which joins a group of n by n pairs;
+2. families that are not one group then are searched by prefix filter: two sets of similarity 0.8
+   share one of each one's rarest fifth of shingles, rarity counted within the family, so a document
+   with over a fifth of its own is compared with nothing. Each row of such a posting is verified
+   against one row of another group;
+3. last, every pair of such a posting that is still in two groups is verified.
+
+So the groups are the connected components of all pairs at 0.8 or more inside families; only a pair
+that shares no triple, directly or through relatives, can be missed.
 
-Exact copies (equal shingle sets) enter once. First each document is verified against its closest
-and its smallest partner over all postings, which joins a group of n near copies by 2n pairs. Then every
-pair that meets in a posting, is close, and is not joined yet is verified, so the groups are those of
-all pairs that meet.
 Null and empty texts have no shingles: they are copies of each other. Rows with equal or null doc_id
-are documents of their own where their texts differ. An empty table gives no rows.
+are documents of their own where their texts differ. Texts of any length are read whole. Other
+columns are kept as they are, whatever their names. An empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -41,6 +52,8 @@ SEEN = 2
 DIFFERING = 36
 #: Documents of a posting that are compared with each other at once.
 BLOCK = 2048
+#: Parts that a family's rows are dealt to.
+SALTS = 32
 
 
 def signature(hashes: np.ndarray) -> np.ndarray:
@@ -77,56 +90,58 @@ def signatures(docs: DataFrame, *more: str) -> DataFrame:
     return docs.select("doc_id", *more, "text").mapInArrow(run, f"doc_id long, {', '.join(n + ' long' for n in (*more, *names))}, copy binary")
 
 
-def postings(distinct: DataFrame, first: int = 0, last: int = KEYS) -> DataFrame:
-    """`distinct` (rep, s0, s1..) -> (key, rep, s0.., near, apart, least): the rows that share one of the triples of bytes first..last
-    with a row that differs in few bits. near and least: the closest and the smallest of these,
-    apart: the bits to the closest. Postings of more than BLOCK
-    rows give all their rows; there near and least are of the row's block and the posting's smallest rows, and null if none is close."""
+def links(distinct: DataFrame, first: int = 0, last: int = KEYS) -> DataFrame:
+    """`distinct` (rep, s0, s1..) -> (a, b), b < a: rows that share one of the triples of bytes first..last and differ in few
+    bits, as a spanning forest of each posting."""
     byte = lambda at: F.shiftrightunsigned(f"s{at // 8}", 8 * (at % 8)).bitwiseAND(255)
-    keys = [F.lit(k << 24) + byte(x) * 65536 + byte(y) * 256 + byte(z) for k, (x, y, z) in enumerate(triples().tolist()) if first <= k < last]
+    keys = [(F.lit((k - KEYS // 2) << 24) + byte(x) * 65536 + byte(y) * 256 + byte(z)).cast("int") for k, (x, y, z) in enumerate(triples().tolist()) if first <= k < last]
     shared = distinct.select(F.explode(F.array(*keys)).alias("key"), "rep", *(f"s{w}" for w in range(SEEN)))
-    names = [*shared.columns, "near", "apart", "least"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for key, rep, *words in _whole_groups(batches, 1):
+        for key, rep, *words in _whole_groups(batches):
             sig = np.stack([w.view(np.uint64) for w in words], axis=1)
             ends = _ends(key)
             at, sizes = ends[:-1], np.diff(ends)
             two = at[sizes == 2]
             two = two[np.bitwise_count(sig[two] ^ sig[two + 1]).sum(axis=1) <= DIFFERING]
-            rows, near = [np.concatenate((two, two + 1))], [np.concatenate((two + 1, two))]
-            least = [near[0]]
+            rows, roots = [two + 1], [two]
             for i, size in zip(at[sizes > 2].tolist(), sizes[sizes > 2].tolist(), strict=True):
-                x, y, z = closest(sig[i : i + size])
-                rows.append(x + i)
-                near.append(np.where(y < 0, -1, y + i))
-                least.append(np.where(z < 0, -1, z + i))
-            rows, near, least = map(np.concatenate, (rows, near, least))
-            apart = np.bitwise_count(sig[rows] ^ sig[near]).sum(axis=1).astype(np.int32)
-            ends = [pa.array(rep[near], mask=near < 0), pa.array(apart, mask=near < 0), pa.array(rep[least], mask=least < 0)]
-            yield pa.RecordBatch.from_arrays([pa.array(c[rows]) for c in (key, rep, *words)] + ends, names=names)
-
-    schema = "key long, rep long, " + ", ".join(f"s{w} long" for w in range(SEEN)) + ", near long, apart int, least long"
-    shared = shared.withColumn("key", F.col("key").cast("long"))
-    return shared.repartition("key").sortWithinPartitions("key", "rep").mapInArrow(run, schema)
-
-
-def closest(sig: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(rows, near, least) of one posting: see `postings`; -1 stands for none."""
-    rows, near, least = [], [], []
-    heads = np.arange(min(len(sig), 256)) if len(sig) > BLOCK else np.arange(0)
-    for at in range(0, len(sig), BLOCK):
-        own = np.arange(at, min(at + BLOCK, len(sig)))
-        others = np.concatenate((heads, own))
-        apart = _apart(sig[own], sig[others])
-        apart[own[:, None] == others[None, :]] = 9999
-        ok = apart <= DIFFERING
-        some = ok.any(axis=1)
-        keep = some | (len(sig) > BLOCK)
-        rows.append(own[keep])
-        near.append(np.where(some, others[apart.argmin(axis=1)], -1)[keep])
-        least.append(np.where(some, others[ok.argmax(axis=1)], -1)[keep])
-    return np.concatenate(rows), np.concatenate(near), np.concatenate(least)
+                root = forest(sig[i : i + size])
+                linked = np.flatnonzero(root != np.arange(size))
+                rows.append(linked + i)
+                roots.append(root[linked] + i)
+            rows, roots = np.concatenate(rows), np.concatenate(roots)
+            yield pa.RecordBatch.from_arrays([pa.array(rep[rows]), pa.array(rep[roots])], names=["a", "b"])
+
+    return shared.repartition("key").sortWithinPartitions("key", "rep").mapInArrow(run, "a long, b long").distinct()
+
+
+def forest(sig: np.ndarray) -> np.ndarray:
+    """For each row of a posting the least row that it is close to, directly or through others.
+
+    The first row takes all that are close to it; in large postings each row outside the largest group
+    is then compared with all, so a posting of near copies costs its size and not its square.
+    """
+    n = len(sig)
+    close = _apart(sig[:1], sig)[0] <= DIFFERING
+    if close.all():
+        return np.zeros(n, np.int64)
+    if n <= BLOCK:
+        near, label = _apart(sig, sig) <= DIFFERING, np.arange(n)
+        while True:
+            new = np.where(near, label[None, :], n).min(axis=1)
+            new = np.minimum(new, new[new])
+            if (new == label).all():
+                return label
+            label = new
+    label, done = np.arange(n), np.zeros(n, bool)
+    while True:
+        left = np.flatnonzero(~done & (label != np.argmax(np.bincount(label))))
+        if not len(left):
+            return label
+        met = np.unique(label[_apart(sig[left[:1]], sig)[0] <= DIFFERING])
+        label[np.isin(label, met)] = met[0]
+        done[left[0]] = True
 
 
 def _apart(x: np.ndarray, y: np.ndarray) -> np.ndarray:
@@ -137,60 +152,19 @@ def _apart(x: np.ndarray, y: np.ndarray) -> np.ndarray:
     return apart
 
 
-def links(distinct: DataFrame, first: int = 0, last: int = KEYS) -> DataFrame:
-    """`distinct` (rep, s0, s1..) -> (a, b): a row and its closest and smallest partner of each posting."""
-    return _first_links(postings(distinct, first, last)).distinct()
-
-
-def _first_links(held: DataFrame) -> DataFrame:
-    """(a, b) from the near and least of `postings`."""
-    return held.select(F.col("rep").alias("a"), F.explode(F.array("near", "least")).alias("b")).filter("b is not null")
-
-
-def apart_pairs(held: DataFrame, roots: DataFrame) -> DataFrame:
-    """(a, b): every pair of a posting of `held` that differs in few bits and is not connected in `roots` (node, component).
-
-    Postings within one component have none. A posting of more than BLOCK rows is dealt out as blocks against blocks.
-    """
-    known = held.join(roots, held.rep == roots.node, "left").select("key", "rep", *(f"s{w}" for w in range(SEEN)), F.coalesce("component", "rep").alias("component"))
-    mixed = known.groupBy("key").agg(F.ceil(F.count("*") / BLOCK).alias("blocks"), F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo < hi")
-    known = known.join(mixed.select("key", "blocks"), "key").withColumn("block", F.pmod(F.xxhash64("rep"), "blocks"))
-    known = known.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
-    dealt = known.select("key", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "rep", "component", *(f"s{w}" for w in range(SEEN)))
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for key, i, j, block, rep, component, *words in _whole_groups(batches, 3):
-            sig = np.stack([w.view(np.uint64) for w in words], axis=1)
-            ends = _ends(key, i, j)
-            a, b = [rep[:0]], [rep[:0]]
-            for at, end in zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True):
-                for low in range(at, end, 512):
-                    own, all_ = slice(low, min(low + 512, end)), slice(at, end)
-                    ok = (_apart(sig[own], sig[all_]) <= DIFFERING) & (component[own][:, None] != component[all_][None, :]) & (rep[own][:, None] < rep[all_][None, :])
-                    if i[at] != j[at]:
-                        ok &= block[own][:, None] != block[all_][None, :]
-                    x, y = np.nonzero(ok)
-                    a.append(rep[own][x])
-                    b.append(rep[all_][y])
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(a)), pa.array(np.concatenate(b))], names=["a", "b"])
-
-    return dealt.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j").mapInArrow(run, "a long, b long").distinct()
-
-
-def _ends(*keys: np.ndarray) -> np.ndarray:
+def _ends(key: np.ndarray) -> np.ndarray:
     """Where groups of equal keys begin, and the end."""
-    new = np.any([k[1:] != k[:-1] for k in keys], axis=0)
-    return np.concatenate(([0], np.flatnonzero(new) + 1, [len(keys[0])]))
+    return np.concatenate(([0], np.flatnonzero(key[1:] != key[:-1]) + 1, [len(key)]))
 
 
-def _whole_groups(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[list[np.ndarray]]:
-    """The columns of sorted batches, cut so that rows that are equal in the first `keys` columns stay together."""
+def _whole_groups(batches: Iterator[pa.RecordBatch]) -> Iterator[list[np.ndarray]]:
+    """The columns of sorted batches, cut so that rows that are equal in the first column stay together."""
     held: list = []  # parts that have no end of a group yet
     for batch in _and_last(batches):
         new = [] if batch is None else [c.to_numpy() for c in batch.columns]
         if batch is not None and not batch.num_rows:
             continue
-        if new and held and all(new[k][-1] == held[0][k][0] for k in range(keys)):
+        if new and held and new[0][-1] == held[0][0][0]:
             held.append(new)
             continue
         columns = [np.concatenate(c) for c in zip(*held, new, strict=True)] if held and new else new
@@ -198,7 +172,7 @@ def _whole_groups(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[list
             if held:
                 yield [np.concatenate(c) for c in zip(*held, strict=True)]
             return
-        cut = _ends(*columns[:keys])[-2]
+        cut = _ends(columns[0])[-2]
         if cut:
             yield [c[:cut] for c in columns]
         held = [[c[cut:] for c in columns]]
@@ -229,6 +203,58 @@ def _alike(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return pairs.filter(both >= SIMILARITY * (F.size("x") + F.size("y") - both)).select("a", "b")
 
 
+def _prefixes(rows: DataFrame) -> DataFrame:
+    """`rows` (node, family, shingles) -> (family, shingle, node, size): the shingles that a similar set of the family must share one of.
+
+    Of a set of n, SIMILARITY * n must be shared, so n - SIMILARITY * n + 1 of its rarest suffice; those that
+    no other set of the family has count among them and are left out.
+    """
+    tokens = rows.select("family", "node", F.size("shingles").alias("size"), F.explode("shingles").alias("shingle"))
+    shared = tokens.groupBy("family", "shingle").agg(F.count("*").alias("k")).filter("k > 1")
+    order, whole = Window.partitionBy("node").orderBy("k", "shingle"), Window.partitionBy("node")
+    ranked = tokens.join(shared, ["family", "shingle"]).withColumn("at", F.row_number().over(order)).withColumn("common", F.count("*").over(whole))
+    needed = F.col("size") - F.ceil(SIMILARITY * F.col("size") - 1e-9) + 1
+    return ranked.filter(F.col("at") <= needed - (F.col("size") - F.col("common"))).select("family", "shingle", "node", "size")
+
+
+def _postings_of_many(prefixes: DataFrame, state: DataFrame) -> DataFrame:
+    """(family, shingle, node, size, component, lo, hi): postings of rows of more than one component, with a row of the least and of the greatest."""
+    held = prefixes.join(state.select("node", "component"), "node")
+    ends = held.groupBy("family", "shingle").agg(F.min(F.struct("component", "node")).alias("lo"), F.max(F.struct("component", "node")).alias("hi"))
+    return held.join(ends.filter("lo.component < hi.component"), ["family", "shingle"])
+
+
+def _merged(state: DataFrame, found: DataFrame) -> DataFrame:
+    """`state` (node, family, component) after the links `found` (a, b)."""
+    known = state.filter("node <> component").select(F.col("node").alias("a"), F.col("component").alias("b"))
+    roots = components(known.unionByName(found)).withColumnRenamed("component", "root")
+    return written(state.join(roots, "node", "left").select("node", "family", F.coalesce("root", "component").alias("component")), "neardup-state")
+
+
+def _joined(met: DataFrame, sets: DataFrame) -> DataFrame:
+    """(node, component): the groups of all pairs at SIMILARITY inside the families that the links `met` (a, b) make."""
+    family = components(met).select("node", F.col("component").alias("family"))
+    state = family.withColumn("component", F.col("node"))
+    state = _merged(state, _alike(met.groupBy("a").agg(F.min("b").alias("b")), sets))
+    several = state.groupBy("family").agg(F.count("*").alias("n"), F.min("component").alias("lo"), F.max("component").alias("hi"))
+    several = several.filter("n > 2 and lo < hi").select("family", F.explode(F.array(*map(F.lit, range(SALTS)))).alias("salt"))  # of two, the only pair is verified
+    salted = state.withColumn("salt", F.pmod(F.xxhash64("node"), F.lit(SALTS)).cast("int"))  # a family can be large
+    rows = written(salted.join(several, ["family", "salt"], "left_semi").select("node", "family").join(sets, "node"), "neardup-open")
+    prefixes = written(_prefixes(rows), "neardup-prefixes")
+    other = F.when(F.col("component") == F.col("lo.component"), F.col("hi.node")).otherwise(F.col("lo.node"))
+    some = _postings_of_many(prefixes, state).select(F.col("node").alias("a"), other.alias("b"))
+    state = _merged(state, _alike(some.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), rows))
+    left = written(_postings_of_many(prefixes, state).select("family", "shingle", "node", "size", "component"), "neardup-left")
+    x, y = left.alias("x"), left.alias("y")
+    fits = F.least("x.size", "y.size") >= SIMILARITY * F.greatest("x.size", "y.size")
+    apart = (F.col("x.family") == F.col("y.family")) & (F.col("x.shingle") == F.col("y.shingle")) & (F.col("x.component") < F.col("y.component")) & fits
+    rest = x.join(y, apart).select(F.col("x.node").alias("a"), F.col("y.node").alias("b")).distinct()
+    done = _merged(state, _alike(rest, rows))
+    for frame in (rows, prefixes, left, state):
+        drop_written(frame)
+    return done.select("node", "component")
+
+
 def _keyed(docs: DataFrame, *more: Column) -> DataFrame:
     """doc_id (null: the least), text and a key of both."""
     doc_id, text = F.col("doc_id").cast("long"), F.col("text").cast("string")
@@ -241,16 +267,16 @@ def _members(docs: DataFrame) -> DataFrame:
     sigs = written(signatures(docs, "row"), "signatures")
     once = sigs.groupBy("copy").agg(F.min("row").alias("row"), *(F.first(f"s{w}").alias(f"s{w}") for w in range(WORDS)))
     distinct = written(once.withColumn("rep", F.monotonically_increasing_id()), "signatures-once")
-    batches = [written(postings(distinct, k, k + KEYS_AT_ONCE), "neardup-postings") for k in range(0, KEYS, KEYS_AT_ONCE)]
-    held = reduce(DataFrame.unionByName, batches)
-    met = distinct.join(held.select("rep").distinct(), "rep", "left_semi").select("row", F.col("rep").alias("node"))
-    sets = written(_shingle_sets(docs.join(met, "row")).dropDuplicates(["node"]), "shingles")
-    one = held.groupBy("rep").agg(F.min_by("near", F.struct("apart", "near")).alias("near"), F.min("least").alias("least"))
-    first = components(written(_alike(_first_links(one).filter("a <> b").distinct(), sets), "neardup-alike"))
-    rest = written(_alike(written(apart_pairs(held, first), "neardup-links"), sets), "neardup-alike")
-    drop_written(held)
+    batches = [written(links(distinct, k, k + KEYS_AT_ONCE), "neardup-links") for k in range(0, KEYS, KEYS_AT_ONCE)]
+    met = written(reduce(DataFrame.unionByName, batches).distinct(), "neardup-links")
+    for batch in batches:
+        drop_written(batch)
+    ends = met.select(F.explode(F.array("a", "b")).alias("rep")).distinct()
+    wanted = distinct.join(ends, "rep", "left_semi").select("row", F.col("rep").alias("node"))
+    sets = written(_shingle_sets(docs.join(wanted, "row").dropDuplicates(["node"])), "shingles")
+    roots = _joined(met, sets)
+    drop_written(met)
     drop_written(sets)
-    roots = components(first.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(rest))
     classes = distinct.join(roots, F.col("rep") == F.col("node"), "left").select("copy", F.coalesce("component", "rep").alias("component"))
     return sigs.join(classes, "copy").select("doc_id", "row", "component")
 
