@@ -14,6 +14,7 @@ gives no rows. Other columns are ignored.
 
 from __future__ import annotations
 
+import json
 import zlib
 from bisect import bisect_right, insort
 from collections.abc import Iterator
@@ -28,7 +29,8 @@ from pyspark.sql import functions as F
 WINDOW = 2048
 TIERS = (256, 512, 1024, 2048)
 END_ID = 1
-CACHE_ENTRIES = 400_000
+#: Entries of a cache, and the longest chunk (in bytes) that is kept: together they bound its memory, whatever the texts.
+CACHE_ENTRIES, CACHED_BYTES = 400_000, 96
 POOL_TOKENS = 128 * WINDOW
 GROUP_SEQUENCES = 8
 
@@ -45,6 +47,26 @@ _ARROW = pa.schema(
 _SPLIT = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
 
 
+#: The steps of a tokenizer file under which no id depends on text beyond white space.
+_CHUNKED = (["NFC", "Replace", "Lowercase"], ["Split", "ByteLevel"])
+
+
+def _by_chunks(tokenizer_path: str) -> bool:
+    """Whether the file's normaliser and pre-tokenizer are those that `WordIds` takes apart."""
+    with open(tokenizer_path, encoding="utf-8") as file:
+        spec = json.load(file)
+    steps = [(spec.get(k) or {}).get(v, []) for k, v in (("normalizer", "normalizers"), ("pre_tokenizer", "pretokenizers"))]
+    if tuple([x["type"] for x in own] for own in steps) != _CHUNKED:
+        return False
+    (_, space, _), (split, letters) = steps
+    return (
+        (space["pattern"], space["content"]) == ({"Regex": r"\s+"}, " ")
+        and (split["pattern"], split["behavior"], split["invert"]) == ({"Regex": _SPLIT.pattern}, "Removed", True)
+        and not (letters["add_prefix_space"] or letters["use_regex"] or spec.get("post_processor") or spec["model"].get("continuing_subword_prefix"))
+        and not any(c.isspace() for t in spec["added_tokens"] for c in t["content"])
+    )
+
+
 def _byte_letters() -> dict[int, str]:
     """The printable stand-in of each byte in byte-level vocabularies."""
     plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
@@ -55,8 +77,9 @@ def _byte_letters() -> dict[int, str]:
 class WordIds(dict):
     """Chunk between ASCII white space (UTF-8) -> its token ids as little-endian 32-bit bytes.
 
-    No token and no normalisation step of this vocabulary spans white space, so a text's ids are
-    those of its chunks in turn. The table forgets everything when it is full.
+    Where no token and no normalisation step of a vocabulary spans white space, a text's ids are those
+    of its chunks in turn; that is so if its file has the steps of `_CHUNKED`, which is looked up, and
+    any other file is encoded text by text. The table forgets everything when it is full.
     """
 
     def __init__(self, tokenizer_path: str, entries: int = CACHE_ENTRIES):
@@ -65,34 +88,40 @@ class WordIds(dict):
         super().__init__()
         self.tokenizer = Tokenizer.from_file(tokenizer_path)
         self.tokenizer.encode_special_tokens = True
+        self.chunked = _by_chunks(tokenizer_path)
         self.entries = entries
         self.model = self.tokenizer.model
         self.letters = _byte_letters()
         self.pretokens: dict[str, bytes] = {}
 
     def __missing__(self, chunk: bytes) -> bytes:
-        if len(self) >= self.entries:
-            self.clear()
         text = chunk.decode("utf-8", "replace")
         # Latin-1 without controls and odd spaces: composed already, and lower-cased letter by letter
         if len(text) < 200 and all(33 <= ord(c) < 127 or 161 <= ord(c) < 256 for c in text):
             ids = b"".join(map(self._pretoken, _SPLIT.findall(text.lower())))
         else:
             ids = _pack_ids(self.tokenizer.encode(text, add_special_tokens=False).ids)
-        self[chunk] = ids
+        if len(chunk) <= CACHED_BYTES:
+            if len(self) >= self.entries:
+                self.clear()
+            self[chunk] = ids
         return ids
 
     def _pretoken(self, word: str) -> bytes:
         ids = self.pretokens.get(word)
         if ids is None:
-            if len(self.pretokens) >= self.entries:
-                self.pretokens.clear()
             spelled = "".join(map(self.letters.__getitem__, word.encode()))
-            ids = self.pretokens[word] = _pack_ids([t.id for t in self.model.tokenize(spelled)])
+            ids = _pack_ids([t.id for t in self.model.tokenize(spelled)])
+            if len(word) <= CACHED_BYTES:
+                if len(self.pretokens) >= self.entries:
+                    self.pretokens.clear()
+                self.pretokens[word] = ids
         return ids
 
     def encode(self, text: str | None) -> np.ndarray:
         """The ids of a whole text (None: empty), without the end token."""
+        if not self.chunked:
+            return np.asarray(self.tokenizer.encode(text or "", add_special_tokens=False).ids, dtype="<u4")
         chunks = (text or "").encode("utf-8", "replace").split()
         return np.frombuffer(b"".join(map(self.__getitem__, chunks)), dtype="<u4")
 
