@@ -8,7 +8,8 @@ walk is linear. Two adjacent tokens are compatible if the merges of their joined
 just these two; the answer is memoised per pair. A sequence all of whose neighbours are compatible
 is the one that the merges produce, so the result equals merging by rank.
 
-Null and empty texts have no ids. Repeated rows are encoded once each.
+Null and empty texts have no ids. Repeated rows are encoded once each; texts of any length are read
+whole. An empty table gives no rows. Other columns are ignored.
 """
 
 from __future__ import annotations
@@ -26,7 +27,8 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-CACHE_ENTRIES = 400_000
+#: Entries of a cache, and the longest chunk that is kept: together they bound its memory, whatever the texts.
+CACHE_ENTRIES, CACHED_CHARS = 400_000, 48
 SCHEMA = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
 
 #: White space as the vocabulary's pattern sees it; Python's own class has four controls more.
@@ -107,17 +109,20 @@ class ByteBpe:
 
     def _chunk(self, chunk: str) -> bytes:
         ids = b"".join(map(self._piece, self.split.findall(chunk)))
-        if len(self.chunks) >= self.entries:
-            self.chunks.clear()
-        self.chunks[chunk] = ids
+        if len(chunk) <= CACHED_CHARS:
+            if len(self.chunks) >= self.entries:
+                self.chunks.clear()
+            self.chunks[chunk] = ids
         return ids
 
     def _piece(self, piece: str) -> bytes:
         ids = self.pieces.get(piece)
         if ids is None:
-            if len(self.pieces) >= self.entries:
-                self.pieces.clear()
-            ids = self.pieces[piece] = np.asarray(self.encode_piece(piece.encode("utf-8", "replace")), dtype="<u4").tobytes()
+            ids = np.asarray(self.encode_piece(piece.encode("utf-8", "replace")), dtype="<u4").tobytes()
+            if len(piece) <= CACHED_CHARS:
+                if len(self.pieces) >= self.entries:
+                    self.pieces.clear()
+                self.pieces[piece] = ids
         return ids
 
     def encode(self, text: str | None) -> np.ndarray:
