@@ -1,7 +1,7 @@
 """Canonical exact digests of documents, with DataFrame and SQL functions only.
 
-A text is composed by Unicode's compatibility normalisation, lower-cased, its white space folded to
-single spaces and trimmed; the digest is two 64-bit xxhash values under different seeds. Two texts
+A text is composed by Unicode's compatibility normalisation, case-folded, composed again, its white
+space folded to single spaces and trimmed; the digest is two 64-bit xxhash values under different seeds. Two texts
 are alike (1.0) if their digests are equal and so are their canonical bytes, else not (0.0).
 
 A null text is the empty one. Rows with equal doc_id follow each other by text; a null doc_id comes
@@ -13,14 +13,17 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from cellgrid.llm.cluster import written
+
 #: Ranges of doc_id for each shuffle partition; their bounds and first ids are all that the driver sees.
 RANGES_PER_PARTITION = 4
 _LEAST = -(2**63)
 
 
 def canonical(text: Column) -> Column:
-    composed = F.reflect(F.lit("com.ibm.icu.text.Normalizer"), F.lit("compose"), F.coalesce(text, F.lit("")), F.lit(True))
-    return F.trim(F.regexp_replace(F.lower(composed), r"[\s\u0085\p{Z}]+", " "))
+    compose = lambda t: F.reflect(F.lit("com.ibm.icu.text.Normalizer"), F.lit("compose"), t, F.lit(True))
+    folded = F.reflect(F.lit("com.ibm.icu.lang.UCharacter"), F.lit("foldCase"), compose(F.coalesce(text, F.lit(""))), F.lit(True))
+    return F.trim(F.regexp_replace(compose(folded), r"[\s\u0085\p{Z}]+", " "))
 
 
 def digest(canon: Column) -> Column:
@@ -106,21 +109,21 @@ def fingerprints(docs: DataFrame) -> DataFrame:
 
 
 def exact_groups(docs: DataFrame) -> DataFrame:
-    """Per row of `docs` the smallest doc_id whose canonical text has the same bytes.
+    """The rows of `fingerprints`, and group_id: the smallest doc_id (null: none) whose canonical text has the same bytes.
 
     Digests meet first, as counts and smallest ids; only rows whose digest repeats are then compared
     with the bytes of their bucket's first text. A bucket with different bytes keeps them apart by
     grouping on the bytes themselves.
     """
+    prints = written(fingerprints(docs), "fingerprints")
+    buckets = written(prints.groupBy("fingerprint").agg(F.min("doc_id").alias("first_id"), F.count("*").alias("n")), "buckets")
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), canonical(F.col("text").cast("string")).alias("canon"))
     rows = rows.withColumn("fingerprint", digest(F.col("canon")))
-    buckets = rows.groupBy("fingerprint").agg(F.min("doc_id").alias("first_id"), F.count("*").alias("n"))
-    many = buckets.filter("n > 1")
-    first = rows.join(many, "fingerprint").filter("doc_id = first_id").groupBy("fingerprint").agg(F.min("canon").alias("first_canon"))
-    compared = rows.join(many, "fingerprint").join(first, "fingerprint")
-    same = F.col("canon") == F.col("first_canon")
-    agreed = compared.filter(same).select("doc_id", "fingerprint", F.col("first_id").alias("group_id"))
-    apart = compared.filter(~same)
-    others = apart.join(apart.groupBy("canon").agg(F.min("doc_id").alias("group_id")), "canon").select("doc_id", "fingerprint", "group_id")
-    single = rows.join(buckets.filter("n = 1"), "fingerprint").select("doc_id", "fingerprint", F.col("doc_id").alias("group_id"))
-    return agreed.unionByName(others).unionByName(single)
+    bucketed = rows.join(buckets.filter("n > 1"), "fingerprint")
+    first = bucketed.filter("doc_id <=> first_id").groupBy("fingerprint").agg(F.min("canon").alias("first_canon"))
+    apart = written(bucketed.join(first, "fingerprint").filter("canon <> first_canon").select("doc_id", "fingerprint", "canon"), "collisions")
+    others = apart.join(apart.groupBy("canon").agg(F.min("doc_id").alias("other_id")), "canon").select("doc_id", "fingerprint", "other_id").distinct()
+    same_row = prints.doc_id.eqNullSafe(others.doc_id) & (prints.fingerprint == others.fingerprint)
+    found = prints.join(others, same_row, "left").select(*(prints[c] for c in prints.columns), "other_id", others.fingerprint.isNotNull().alias("apart"))
+    group = F.when(F.col("apart"), F.col("other_id")).otherwise(F.col("first_id"))
+    return found.join(buckets.select("fingerprint", "first_id"), "fingerprint").select(*prints.columns, group.alias("group_id"))

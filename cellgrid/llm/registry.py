@@ -44,7 +44,7 @@ def op6_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return fingerprints.fingerprints(_table(spark, sf_dir, "documents"))
+    return fingerprints.exact_groups(_table(spark, sf_dir, "documents"))
 
 
 def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
