@@ -9,9 +9,11 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder named in spark.checkpoint.dir. Where it is unset (tests on one machine), one is made and set."""
+    """The folder named in spark.checkpoint.dir. Where it is unset, one is made and set on a single machine; a cluster must name it."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         folder = "file://" + tempfile.mkdtemp(prefix="cellgrid-checkpoint-")
         spark.conf.set("spark.checkpoint.dir", folder)
     return folder

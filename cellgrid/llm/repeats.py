@@ -14,8 +14,9 @@ group of copies of any size costs one run. Runs that share a minimiser but diffe
 
 Matches never cross documents. A null text is the empty one and loses nothing, nor does a text
 under LENGTH bytes. Rows that repeat another row's text, with the same or another doc_id, lose all
-of their strings like any copies do; rows are told apart by doc_id and text together. An empty
-table gives no rows.
+of their strings like any copies do; rows are told apart by doc_id and text together. Long texts are
+cut into runs of bounded size and read whole. Other columns are kept as they are by `remove`, whatever
+their names, and ignored by `report`. An empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -379,7 +380,10 @@ def repeated_spans(docs: DataFrame) -> DataFrame:
     copied = held.join(classes.filter("copies > 1").select("h", "d1", "d2"), ["h", "d1", "d2"]).select(
         "doc_id", "row", F.struct(F.col("start").alias("a"), (F.col("start") + F.col("n") + LENGTH - 1).alias("b")).alias("s")
     )
-    return copied.unionByName(one).unionByName(split).groupBy("doc_id", "row").agg(F.collect_list("s").alias("spans"))
+    spans = written(copied.unionByName(one).unionByName(split).groupBy("doc_id", "row").agg(F.collect_list("s").alias("spans")), "spans")
+    for frame in (held, classes, compared):
+        drop_written(frame)
+    return spans
 
 
 def merged(spans: list[dict] | None) -> list[tuple[int, int]]:
