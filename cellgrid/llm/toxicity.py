@@ -12,7 +12,9 @@ clean texts.
 
 Only whole texts are scored, and only `text` is an input. Null and empty texts are scored as an
 empty span. Labelled ids that no text has, or with a null label, are left out. With no labelled
-rows of both classes every score is 0.0. Repeated rows are scored once each.
+rows of both classes every score is 0.0. Repeated rows are scored once each; of several texts under
+one labelled id the least is learned, of several labels the greater. Other columns are kept as they
+are by `keep_clean` and ignored by `score`. An empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -207,7 +209,7 @@ def training_rows(docs: DataFrame, labels: DataFrame, held_out) -> DataFrame:
     picked = [own.filter(F.col("toxic") == k).orderBy(spread, "doc_id").limit(n) for k, n in ((1, MAX_TOXIC), (0, MAX_CLEAN))]
     sample = picked[0].unionByName(picked[1])  # at most MAX_TOXIC + MAX_CLEAN ids, so it may be broadcast
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return texts.join(F.broadcast(sample), "doc_id").groupBy("doc_id").agg(F.first("text").alias("text"), F.first("toxic").alias("toxic"))
+    return texts.join(F.broadcast(sample), "doc_id").groupBy("doc_id").agg(F.min("text").alias("text"), F.max("toxic").alias("toxic"))
 
 
 def in_held_out(doc_id):

@@ -224,11 +224,22 @@ def test_fingerprints(spark, docs):
     assert by_id[1].fingerprint == by_id[2].fingerprint and by_id[1].near_next == 1.0 and by_id[2].near_next == 0.0
     assert by_id[4].near_next == 1.0 and by_id[5].near_next == 0.0
     assert {(r.doc_id, r.group_id) for r in fingerprints.exact_groups(frame).collect()} == {(1, 1), (2, 1), (3, 3), (4, 4), (5, 4)}
+    folds = spark.createDataFrame([(6, "Straße ΣΑΣ"), (7, "STRASSE σας"), (8, "İ"), (None, "strasse  σασ")], "doc_id long, text string")
+    assert {(r.doc_id, r.group_id) for r in fingerprints.exact_groups(folds).collect()} == {(6, 6), (7, 6), (8, 8), (None, 6)}
+    grouped = fingerprints.exact_groups(docs).collect()
+    assert len(grouped) == len(ROWS) and {r.group_id for r in grouped if r.doc_id in (1, 2, 3)} == {1}
+    assert fingerprints.exact_groups(docs.limit(0)).count() == 0
     one = fingerprints.fingerprints(frame.filter("doc_id = 3")).first()
     assert one.near_next == 1.0 and one.edited_sha256 == hashlib.sha256(b"aba").hexdigest()
     assert fingerprints.fingerprints(docs.limit(0)).count() == 0
 
 
+def test_equal_digests_of_different_bytes_stay_apart(spark, monkeypatch):
+    monkeypatch.setattr(fingerprints, "digest", lambda canon: F.lpad(F.length(canon).cast("string"), 32, "0"))
+    frame = spark.createDataFrame([(1, "ab"), (2, "cd"), (3, "CD "), (4, "ab"), (5, "xyz")], "doc_id long, text string")
+    assert {(r.doc_id, r.group_id) for r in fingerprints.exact_groups(frame).collect()} == {(1, 1), (2, 2), (3, 2), (4, 1), (5, 5)}
+
+
 def test_packing(spark, docs):
     rows = packing.pack(docs, P.path("word_bpe_49k.json")).collect()
     assert sum(r.length for r in rows if r.start == 0 and r.doc_id == 1) == 1
@@ -271,6 +282,21 @@ def test_byte_bpe_of_odd_rows(spark, docs):
     assert len(got) == len(ROWS) and {r.n_tokens for r in got if r.doc_id in (1, 2)} == {0}
 
 
+def test_other_vocabularies_are_encoded_by_the_library():
+    path = P.path("byte_bpe_50k.json")
+    ids = packing.WordIds(path)
+    assert not ids.chunked and packing.WordIds(P.path("word_bpe_49k.json")).chunked
+    assert ids.encode("Two  words,\nthree").tolist() == ids.tokenizer.encode("Two  words,\nthree", add_special_tokens=False).ids
+
+
+def test_caches_do_not_hold_long_chunks():
+    ids = packing.WordIds(P.path("word_bpe_49k.json"))
+    ids.encode("x" * 100_000 + " short")
+    assert max(map(len, ids)) <= packing.CACHED_BYTES and max(map(len, ids.pretokens)) <= packing.CACHED_BYTES
+    _OURS.encode("z" * 100_000 + " short")
+    assert max(map(len, _OURS.chunks)) <= bytebpe.CACHED_CHARS and max(map(len, _OURS.pieces)) <= bytebpe.CACHED_CHARS
+
+
 _WORD_IDS = packing.WordIds(P.path("word_bpe_49k.json"), 50)
 
 
