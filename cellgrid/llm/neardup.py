@@ -15,9 +15,12 @@ a family verification is exact and its work stays near its size:
 1. every document is verified against its smallest relative, which joins a group of n by n pairs;
 2. families that are not one group then are searched by prefix filter: two sets of similarity 0.8
    share one of each one's rarest fifth of shingles, rarity counted within the family, so a document
-   with over a fifth of its own is compared with nothing. Each row of such a posting is verified
+   with over with over a fifth of its own is compared with nothing. Each row of such a posting is verified
+   against one row of another group, TURNS times; Each row of such a posting is verified
    against one row of another group;
-3. last, every pair of such a posting that is still in two groups is verified.
+3. last, rows of such postings that are still in two groups are verified all against all, by counting
+   common shingles in blocks of bounded size; rows of a family's largest group are not compared with
+   each other. What a block gives are the links that join groups, never its pairs.
 
 So the groups are the connected components of all pairs at 0.8 or more inside families; only a pair
 that shares no triple, directly or through relatives, can be missed.
@@ -52,6 +55,10 @@ SEEN = 2
 DIFFERING = 36
 #: Documents of a posting that are compared with each other at once.
 BLOCK = 2048
+#: Times that the rows of a posting are verified against one row each before all pairs left are.
+TURNS = 2
+#: Rows of a family that are verified against each other in one task, and their shingles.
+BLOCK_ROWS, BLOCK_SHINGLES = 1024, 1 << 20
 #: Parts that a family's rows are dealt to.
 SALTS = 32
 
@@ -204,7 +211,7 @@ def _alike(pairs: DataFrame, sets: DataFrame) -> DataFrame:
 
 
 def _prefixes(rows: DataFrame) -> DataFrame:
-    """`rows` (node, family, shingles) -> (family, shingle, node, size): the shingles that a similar set of the family must share one of.
+    """`rows` (node, family, shingles) -> (family, shingle, node): the shingles that a similar set of the family must share one of.
 
     Of a set of n, SIMILARITY * n must be shared, so n - SIMILARITY * n + 1 of its rarest suffice; those that
     no other set of the family has count among them and are left out.
@@ -213,14 +220,16 @@ def _prefixes(rows: DataFrame) -> DataFrame:
     shared = tokens.groupBy("family", "shingle").agg(F.count("*").alias("k")).filter("k > 1")
     order, whole = Window.partitionBy("node").orderBy("k", "shingle"), Window.partitionBy("node")
     ranked = tokens.join(shared, ["family", "shingle"]).withColumn("at", F.row_number().over(order)).withColumn("common", F.count("*").over(whole))
-    needed = F.col("size") - F.ceil(SIMILARITY * F.col("size") - 1e-9) + 1
-    return ranked.filter(F.col("at") <= needed - (F.col("size") - F.col("common"))).select("family", "shingle", "node", "size")
+    ranked = ranked.withColumn("at", F.col("size") - F.col("common") + F.col("at") - 1)
+    return ranked.filter(F.col("at") <= F.col("size") - F.ceil(SIMILARITY * F.col("size") - 1e-9)).select("family", "shingle", "node")
 
 
-def _postings_of_many(prefixes: DataFrame, state: DataFrame) -> DataFrame:
-    """(family, shingle, node, size, component, lo, hi): postings of rows of more than one component, with a row of the least and of the greatest."""
+def _postings_of_many(prefixes: DataFrame, state: DataFrame, turn: int = 0) -> DataFrame:
+    """(family, shingle, node, component, lo, hi): postings of rows of more than one component, with a row of the least
+    and one of the greatest, other ones each turn."""
     held = prefixes.join(state.select("node", "component"), "node")
-    ends = held.groupBy("family", "shingle").agg(F.min(F.struct("component", "node")).alias("lo"), F.max(F.struct("component", "node")).alias("hi"))
+    one = F.struct("component", F.xxhash64(F.lit(turn), "node").alias("order"), "node")
+    ends = held.groupBy("family", "shingle").agg(F.min(one).alias("lo"), F.max(one).alias("hi"))
     return held.join(ends.filter("lo.component < hi.component"), ["family", "shingle"])
 
 
@@ -231,6 +240,83 @@ def _merged(state: DataFrame, found: DataFrame) -> DataFrame:
     return written(state.join(roots, "node", "left").select("node", "family", F.coalesce("root", "component").alias("component")), "neardup-state")
 
 
+def _linked(rows: DataFrame) -> DataFrame:
+    """`rows` (node, family, component, shingles) -> (a, b): enough of the pairs at SIMILARITY between components of a family to join them.
+
+    A family's largest component needs no comparison within itself, so each block of the other rows meets itself, the other
+    such blocks and every block of the largest; no pair is a row. Blocks hold up to BLOCK_ROWS rows and BLOCK_SHINGLES shingles.
+    """
+    sized = rows.groupBy("family", "component").agg(F.count("*").alias("n"), F.sum(F.size("shingles")).alias("m"))
+    family = sized.groupBy("family").agg(F.max(F.struct("n", "m", "component")).alias("top"), F.sum("n").alias("n"), F.sum("m").alias("m"))
+    family = family.select("family", F.col("top.component").alias("top"), F.struct("top.n", "top.m").alias("t"), F.struct((F.col("n") - F.col("top.n")).alias("n"), (F.col("m") - F.col("top.m")).alias("m")).alias("o"))
+    family = family.withColumns({k: F.ceil(F.greatest(F.col(f"{k}.n") / BLOCK_ROWS, F.col(f"{k}.m") / BLOCK_SHINGLES)).cast("int") for k in ("t", "o")})
+    salts = F.explode(F.array(*map(F.lit, range(SALTS)))).alias("salt")
+    dealt = rows.withColumn("salt", F.pmod(F.xxhash64("node"), F.lit(SALTS)).cast("int")).join(family.select("*", salts), ["family", "salt"])
+    in_top, spread = F.col("component") == F.col("top"), F.xxhash64(F.lit("block"), "node")
+    dealt = dealt.withColumn("block", F.when(in_top, F.col("o") + F.pmod(spread, "t")).otherwise(F.pmod(spread, "o")).cast("int"))
+    pair = lambda i, j: F.struct(i.alias("i"), j.alias("j"))
+    before = F.transform(F.sequence(F.lit(0), F.least(F.col("block"), F.col("o") - 1)), lambda i: pair(i, F.col("block")))
+    after = F.when(F.col("block") + 1 < F.col("o") + F.col("t"), F.transform(F.sequence(F.col("block") + 1, F.col("o") + F.col("t") - 1), lambda j: pair(F.col("block"), j)))
+    both = F.when(in_top | after.isNull(), before).otherwise(F.concat(before, after))
+    dealt = dealt.withColumn("p", F.explode(both)).select("family", "p.i", "p.j", "block", "node", "component", "shingles")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for group in _tables(batches, 3):
+            i, j = (group.column(k)[0].as_py() for k in (1, 2))
+            block, node, component = (group.column(k).to_numpy() for k in (3, 4, 5))
+            lists = group.column(6).combine_chunks()
+            a, b = alike_between(lists.offsets.to_numpy(), lists.values.to_numpy(), component, np.flatnonzero(block == i), np.flatnonzero(block == j))
+            yield pa.RecordBatch.from_arrays([pa.array(node[a]), pa.array(node[b])], names=["a", "b"])
+
+    return dealt.repartition("family", "i", "j").sortWithinPartitions("family", "i", "j").mapInArrow(run, "a long, b long")
+
+
+def alike_between(offsets: np.ndarray, values: np.ndarray, component: np.ndarray, left: np.ndarray, right: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Rows a of `left` and b of `right` in different components whose sets reach SIMILARITY, a forest of them."""
+    sets = [values[offsets[k] : offsets[k + 1]] for k in right.tolist()]
+    sizes = np.array([len(x) for x in sets], np.int64)
+    held, owner = np.concatenate(sets) if sets else values[:0], np.repeat(np.arange(len(right)), sizes)
+    order = np.argsort(held, kind="stable")
+    held, owner = held[order], owner[order]
+    label = np.unique(component, return_inverse=True)[1]
+    a, b = [], []
+    for x in left.tolist():
+        own = values[offsets[x] : offsets[x + 1]]
+        low = np.searchsorted(held, own)
+        many = np.searchsorted(held, own, "right") - low
+        places = np.repeat(low - (np.cumsum(many) - many), many) + np.arange(many.sum())
+        both = np.bincount(owner[places], minlength=len(right))
+        alike = (both >= SIMILARITY * (len(own) + sizes - both)) & (label[right] != label[x])
+        for k in np.flatnonzero(alike).tolist():
+            y = int(right[k])
+            if label[x] != label[y]:
+                label[label == label[y]] = label[x]
+                a.append(x)
+                b.append(y)
+    return np.array(a, np.int64), np.array(b, np.int64)
+
+
+def _tables(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[pa.Table]:
+    """A table for each run of rows that are equal in the first `keys` columns."""
+    held: list[pa.RecordBatch] = []
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        columns = [batch.column(k).to_numpy() for k in range(keys)]
+        new = np.flatnonzero(np.any([c[1:] != c[:-1] for c in columns], axis=0)) + 1
+        edges = [0, *new.tolist(), batch.num_rows]
+        if held and any(held[0].column(k)[0].as_py() != c[0] for k, c in enumerate(columns)):
+            yield pa.Table.from_batches(held)
+            held = []
+        for at, end in zip(edges, edges[1:], strict=False):
+            if at:
+                yield pa.Table.from_batches(held)
+                held = []
+            held.append(batch.slice(at, end - at))
+    if held:
+        yield pa.Table.from_batches(held)
+
+
 def _joined(met: DataFrame, sets: DataFrame) -> DataFrame:
     """(node, component): the groups of all pairs at SIMILARITY inside the families that the links `met` (a, b) make."""
     family = components(met).select("node", F.col("component").alias("family"))
@@ -242,14 +328,17 @@ def _joined(met: DataFrame, sets: DataFrame) -> DataFrame:
     rows = written(salted.join(several, ["family", "salt"], "left_semi").select("node", "family").join(sets, "node"), "neardup-open")
     prefixes = written(_prefixes(rows), "neardup-prefixes")
     other = F.when(F.col("component") == F.col("lo.component"), F.col("hi.node")).otherwise(F.col("lo.node"))
-    some = _postings_of_many(prefixes, state).select(F.col("node").alias("a"), other.alias("b"))
-    state = _merged(state, _alike(some.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), rows))
-    left = written(_postings_of_many(prefixes, state).select("family", "shingle", "node", "size", "component"), "neardup-left")
-    x, y = left.alias("x"), left.alias("y")
-    fits = F.least("x.size", "y.size") >= SIMILARITY * F.greatest("x.size", "y.size")
-    apart = (F.col("x.family") == F.col("y.family")) & (F.col("x.shingle") == F.col("y.shingle")) & (F.col("x.component") < F.col("y.component")) & fits
-    rest = x.join(y, apart).select(F.col("x.node").alias("a"), F.col("y.node").alias("b")).distinct()
-    done = _merged(state, _alike(rest, rows))
+    for turn in range(TURNS):
+        some = _postings_of_many(prefixes, state, turn).select(F.col("node").alias("a"), other.alias("b"))
+        found = written(_alike(some.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), rows), "neardup-alike")
+        if found.isEmpty():
+            break
+        before, state = state, _merged(state, found)
+        drop_written(before)
+        drop_written(found)
+    left = _postings_of_many(prefixes, state).select("node").distinct()
+    left = written(rows.join(left, "node").join(state.select("node", "component"), "node"), "neardup-left")
+    done = _merged(state, _linked(left))
     for frame in (rows, prefixes, left, state):
         drop_written(frame)
     return done.select("node", "component")

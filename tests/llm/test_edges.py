@@ -352,8 +352,9 @@ def brute_groups(frame):
     return label
 
 
-@pytest.mark.parametrize("edits", [4, 6])
-def test_copies_that_are_alike_only_by_their_original(spark, edits):
+@pytest.mark.parametrize(("edits", "rows_at_once"), [(4, 1024), (6, 1024), (6, 50)])
+def test_copies_that_are_alike_only_by_their_original(spark, monkeypatch, edits, rows_at_once):
+    monkeypatch.setattr(neardup, "BLOCK_ROWS", rows_at_once)
     base = prose(40, 200).split()
     rng = random.Random(41)
     rows = [(200, " ".join(base))]
