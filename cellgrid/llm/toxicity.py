@@ -40,8 +40,13 @@ _MARKS = ".,;:!?|\"'()[]{}<>*#$%&+-=_~/\\"
 
 
 def words_of(text: str | None) -> list[str]:
-    """Lower-cased words without the marks around them."""
-    return [w for w in (x.strip(_MARKS) for x in (text or "").lower().split()) if w]
+    """Lower-cased words without the marks around them, and without those that repeat one of the last few: a span has a word once."""
+    out: list[str] = []
+    for x in (text or "").lower().split():
+        w = x.strip(_MARKS)
+        if w and w not in out[1 - SPAN :]:
+            out.append(w)
+    return out
 
 
 def grams(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
@@ -110,7 +115,7 @@ class Model:
         if words:
             sums = np.concatenate(([0.0], np.cumsum(self.margins(words))))
             begin, end = spans_of(len(words))
-            worst = float(((sums[end] - sums[begin]) / (end - begin)).max())
+            worst = float((sums[end] - sums[begin]).max()) / SPAN
         return float(1 / (1 + np.exp(-np.clip(worst + self.bias, -50, 50))))
 
 
@@ -148,7 +153,7 @@ def train(texts: list[str], labels: list[int], seed: int = 7) -> Model:
         mean_word /= np.maximum(1, count)[:, None]
         mean = np.zeros((len(rows), DIM), np.float32)
         np.add.at(mean, span, mean_word[place])
-        share = (1 / np.maximum(1, sizes)).astype(np.float32)[:, None]
+        share = np.float32(1 / SPAN)
         mean *= share
         odds = mean @ heads + bias
         odds = np.exp(odds - odds.max(axis=1, keepdims=True))
@@ -179,7 +184,7 @@ def train(texts: list[str], labels: list[int], seed: int = 7) -> Model:
         sums = np.concatenate(([0.0], np.cumsum(now[bucket], dtype=np.float64)))
         margin = (sums[first[1:]] - sums[first[:-1]]) / np.maximum(1, np.diff(first))
         sums = np.concatenate(([0.0], np.cumsum(margin[text])))
-        value = (sums[begin[rows] + size[rows]] - sums[begin[rows]]) / np.maximum(1, size[rows])
+        value = sums[begin[rows] + size[rows]] - sums[begin[rows]]
         order = np.lexsort((-value, doc[rows]))
         ranked = rows[order]
         texts_at = doc[ranked]

@@ -99,11 +99,12 @@ def test_op5(spark, texts):
 
 
 def test_op5_on_documents_held_out(spark):
-    larger = SF.replace("0.001", "0.01")
+    """Accuracy where it was not fitted: with some 300 toxic labels; with 1500 (README) it is higher."""
+    larger = SF.replace("0.001", "0.1")
     got = {r.doc_id: r for r in registry.QUERIES["op5_toxicity"](spark, larger).collect()}
     held = [(got[r.doc_id].predicted, r.toxic) for r in spark.read.parquet(f"{larger}/labels.parquet").collect() if r.toxic is not None and got[r.doc_id].held_out]
     toxic, clean = [p for p, t in held if t == 1], [p for p, t in held if t == 0]
-    assert len(toxic) > 5 and sum(toxic) >= 0.9 * len(toxic) and sum(clean) <= 0.02 * len(clean)
+    assert len(toxic) > 100 and sum(toxic) >= 0.75 * len(toxic) and sum(clean) <= 0.01 * len(clean)
 
 
 def test_op7(spark, texts):
