@@ -4,7 +4,10 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 
@@ -34,3 +37,24 @@ def drop_written(df: DataFrame) -> None:
         if "/cellgrid-" in folder:
             path = jvm.org.apache.hadoop.fs.Path(folder)
             path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def tables(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[pa.Table]:
+    """A table for each run of rows that are equal in the first `keys` columns."""
+    held: list[pa.RecordBatch] = []
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        columns = [batch.column(k).to_numpy() for k in range(keys)]
+        new = np.flatnonzero(np.any([c[1:] != c[:-1] for c in columns], axis=0)) + 1
+        edges = [0, *new.tolist(), batch.num_rows]
+        if held and any(held[0].column(k)[0].as_py() != c[0] for k, c in enumerate(columns)):
+            yield pa.Table.from_batches(held)
+            held = []
+        for at, end in zip(edges, edges[1:], strict=False):
+            if at:
+                yield pa.Table.from_batches(held)
+                held = []
+            held.append(batch.slice(at, end - at))
+    if held:
+        yield pa.Table.from_batches(held)

@@ -41,7 +41,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from cellgrid.llm.cluster import drop_written, written
+from cellgrid.llm.cluster import drop_written, tables, written
 from cellgrid.llm.components import components
 from cellgrid.llm.simhash import shingle_hashes
 
@@ -261,7 +261,7 @@ def _linked(rows: DataFrame) -> DataFrame:
     dealt = dealt.withColumn("p", F.explode(both)).select("family", "p.i", "p.j", "block", "node", "component", "shingles")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for group in _tables(batches, 3):
+        for group in tables(batches, 3):
             i, j = (group.column(k)[0].as_py() for k in (1, 2))
             block, node, component = (group.column(k).to_numpy() for k in (3, 4, 5))
             lists = group.column(6).combine_chunks()
@@ -296,27 +296,6 @@ def alike_between(offsets: np.ndarray, values: np.ndarray, component: np.ndarray
     return np.array(a, np.int64), np.array(b, np.int64)
 
 
-def _tables(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[pa.Table]:
-    """A table for each run of rows that are equal in the first `keys` columns."""
-    held: list[pa.RecordBatch] = []
-    for batch in batches:
-        if not batch.num_rows:
-            continue
-        columns = [batch.column(k).to_numpy() for k in range(keys)]
-        new = np.flatnonzero(np.any([c[1:] != c[:-1] for c in columns], axis=0)) + 1
-        edges = [0, *new.tolist(), batch.num_rows]
-        if held and any(held[0].column(k)[0].as_py() != c[0] for k, c in enumerate(columns)):
-            yield pa.Table.from_batches(held)
-            held = []
-        for at, end in zip(edges, edges[1:], strict=False):
-            if at:
-                yield pa.Table.from_batches(held)
-                held = []
-            held.append(batch.slice(at, end - at))
-    if held:
-        yield pa.Table.from_batches(held)
-
-
 def _joined(met: DataFrame, sets: DataFrame) -> DataFrame:
     """(node, component): the groups of all pairs at SIMILARITY inside the families that the links `met` (a, b) make."""
     family = components(met).select("node", F.col("component").alias("family"))

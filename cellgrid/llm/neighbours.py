@@ -1,19 +1,25 @@
 """Approximate nearest neighbours by inner product: NN-descent builds a graph, greedy search reads it.
 
 Equal vectors are one node, with the ids that can be among a query's nearest, so copies cost nothing.
-The graph starts from random hyperplane codes: nodes sorted by code are compared in blocks of fixed
-size. Each round of NN-descent then joins a node with its neighbours' neighbours: every node is sent
-to the nodes that it is linked with, those that meet there are compared with each other, and each
-keeps its best. A node that very many are linked with compares its visitors in blocks of fixed size.
-Queries start from their own node's neighbours and expand the best nodes not yet expanded.
+The graph starts from random hyperplane codes: nodes that share a code's first bits (so many that a
+bucket has some BLOCK nodes) are compared in blocks, and large buckets are dealt to parts first. The
+buckets depend on the vectors alone and not on how Spark partitions them; few nodes are one block,
+so they are compared exactly. Each round of NN-descent then joins a node with its neighbours'
+neighbours: every node is sent to the nodes that it is linked with, those that meet there are compared
+with each other where one of the two links is new, and each keeps its best. A node that very many are
+linked with compares its visitors in blocks of fixed size. Rounds end when few links change. Queries
+start from their own node's neighbours and expand the best nodes not yet expanded until the beam has
+none left.
 
 Vectors that are null, zero, hold null or non-finite components, or have another number of
-components than most, take no part. Of rows with one vec_id the least vector counts. With fewer
-candidates than asked for, all that the search reaches are returned. Empty tables give no rows.
+components than most, take no part. Of rows with one vec_id the least vector counts; a null vec_id
+takes no part. Ties go to the smaller vec_id. With fewer candidates than asked for, all are returned.
+Empty tables give no rows. Other columns, whatever their names, are ignored.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -21,14 +27,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from cellgrid.llm.cluster import drop_written, written
+from cellgrid.llm.cluster import drop_written, tables, written
 
 TOP = 20
 LINKS = 24
-TREES, CODE_BITS, BLOCK = 6, 24, 512
-ROUNDS, SETTLED = 8, 0.01
+#: Hyperplane codes, their bits at most, nodes compared at once, and how many times that a bucket's part may hold.
+TREES, CODE_BITS, BLOCK, PARTS = 6, 40, 512, 8
+#: Rounds of NN-descent end when this share of links or less is new; ROUNDS is a guard that is not reached in practice.
+ROUNDS, SETTLED = 24, 0.005
 VISITORS = 512
-BEAM, EXPAND, STEPS = 96, 24, 5
+BEAM, EXPAND = 96, 24
 
 
 def valid_vectors(table: DataFrame) -> DataFrame:
@@ -72,39 +80,35 @@ def _matrix(column: pa.Array) -> np.ndarray:
 
 
 def first_graph(nodes: DataFrame, links: int = LINKS, seed: int = 11) -> DataFrame:
-    """Edges (u, w, s) between nodes that random hyperplanes put side by side."""
+    """Edges (u, w, s) between nodes that random hyperplanes put in one bucket."""
+    bits = min(CODE_BITS, max(0, math.ceil(math.log2(max(1, nodes.count()) / BLOCK))))
 
     def coded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             x = _matrix(batch.column(1))
-            for tree in range(TREES if len(x) else 0):
-                planes = np.random.default_rng(seed + tree).normal(size=(x.shape[1], CODE_BITS))
-                gray = (x @ planes > 0).astype(np.int64)
-                bits = np.bitwise_xor.accumulate(gray, axis=1)  # neighbours in order differ in one plane
-                code = bits @ (1 << np.arange(CODE_BITS - 1, -1, -1, dtype=np.int64))
+            for tree in range((TREES if bits else 1) if len(x) else 0):
+                planes = np.random.default_rng(seed + tree).normal(size=(x.shape[1], bits))
+                code = (x @ planes > 0).astype(np.int64) @ (1 << np.arange(bits, dtype=np.int64))
                 yield pa.RecordBatch.from_arrays([pa.array(np.full(len(x), tree, np.int32)), pa.array(code), *batch.columns], names=["tree", "code", "node", "v"])
 
     def compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for ids, x in _chunks(batches):
-            s = x @ x.T
-            np.fill_diagonal(s, -np.inf)
-            a, b = _best(s, links)
-            ok = s[a, b] > -np.inf
-            a, b = a[ok], b[ok]
-            yield _edges([ids[a]], [ids[b]], [s[a, b]])
+        for bucket in tables(batches, 3):
+            node, v = bucket.column(3).to_numpy(), _matrix(bucket.column(4).combine_chunks())
+            for part in np.array_split(np.arange(len(node)), -(-len(node) // BLOCK)):
+                ids, x = node[part], v[part]
+                s = x @ x.T
+                np.fill_diagonal(s, -np.inf)
+                a, b = _best(s, links)
+                ok = s[a, b] > -np.inf
+                a, b = a[ok], b[ok]
+                yield _edges([ids[a]], [ids[b]], [s[a, b]])
 
     spread = nodes.mapInArrow(coded, "tree int, code long, node long, v array<double>")
-    return spread.repartitionByRange("tree", "code", "node").sortWithinPartitions("tree", "code", "node").select("tree", "node", "v").mapInArrow(compared, _EDGE)
-
-
-def _chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Blocks of neighbouring rows, a tree at a time."""
-    for batch in batches:
-        tree, ids, x = batch.column(0).to_numpy(), batch.column(1).to_numpy(), _matrix(batch.column(2))
-        for t in np.unique(tree):
-            own = np.flatnonzero(tree == t)
-            for part in np.array_split(own, -(-len(own) // BLOCK)):
-                yield ids[part], x[part]
+    sizes = spread.groupBy("tree", "code").agg(F.ceil(F.count("*") / (PARTS * BLOCK)).cast("int").alias("parts"))
+    split = sizes.filter("parts > 1")  # its parts hold PARTS * BLOCK nodes each, so there are few
+    part = F.pmod(F.xxhash64("node"), F.coalesce("parts", F.lit(1))).cast("int")
+    dealt = spread.join(split, ["tree", "code"], "left").select("tree", "code", part.alias("part"), "node", "v")
+    return dealt.repartition("tree", "code", "part").sortWithinPartitions("tree", "code", "part", "node").mapInArrow(compared, _EDGE)
 
 
 def _top(edges: DataFrame, links: int) -> DataFrame:
@@ -115,60 +119,51 @@ def _top(edges: DataFrame, links: int) -> DataFrame:
 
 
 def descend(nodes: DataFrame, edges: DataFrame, links: int = LINKS) -> DataFrame:
-    """Edges that a meeting of every node's neighbours finds, better than the worst that the ends have now."""
+    """Edges that a meeting of every node's neighbours finds, better than the worst that the ends have now.
+
+    `edges` (u, w, s, new): pairs of which no link is new have met before and are not compared again.
+    """
 
     def met(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[np.ndarray] = []
-        for batch in _and_last(batches):
-            if batch is not None and batch.num_rows:
-                new = [*(batch.column(i).to_numpy(zero_copy_only=False) for i in range(3)), _matrix(batch.column(3))]
-                held = [np.concatenate(c) for c in zip(held, new, strict=True)] if held else new
-            if not held:
-                continue
-            centre, ids, floor, x = held
-            cuts = np.flatnonzero(centre[1:] != centre[:-1]) + 1
-            edges_at = [0, *cuts.tolist(), *([len(centre)] if batch is None else [])]
+        for meeting in tables(batches, 1):
+            ids, new, floor = (meeting.column(k).to_numpy() for k in (1, 2, 3))
+            x = _matrix(meeting.column(4).combine_chunks())
             us, ws, ss = [], [], []
-            for a, b in zip(edges_at, edges_at[1:], strict=False):
-                parts = -(-(b - a) // VISITORS)
-                for part in np.array_split(np.arange(a, b), parts):
-                    own, once = np.unique(ids[part], return_index=True)
-                    if len(own) < 2:
-                        continue
-                    y, low = x[part[once]], floor[part[once]]
-                    s = y @ y.T
-                    np.fill_diagonal(s, -np.inf)
-                    i, j = np.nonzero(s > low[:, None])
-                    us.append(own[i])
-                    ws.append(own[j])
+            for part in np.array_split(np.arange(len(ids)), -(-len(ids) // VISITORS)):
+                own, low, y, fresh = ids[part], floor[part], x[part], np.flatnonzero(new[part])
+                s = y[fresh] @ y.T
+                s[np.arange(len(fresh)), fresh] = -np.inf
+                for ahead, best in ((True, s > low[fresh][:, None]), (False, s > low[None, :])):
+                    i, j = np.nonzero(best)
+                    us.append(own[fresh[i]] if ahead else own[j])
+                    ws.append(own[j] if ahead else own[fresh[i]])
                     ss.append(s[i, j])
-            held = [c[edges_at[-1] :] for c in held]
             yield _edges(us, ws, ss)
 
     worst = edges.groupBy("u").agg(F.min("s").alias("low"), F.count("*").alias("k"))
     floors = nodes.join(worst, nodes.node == worst.u, "left").select(
         "node", "v", F.when(F.col("k") >= links, F.col("low")).otherwise(float("-inf")).alias("floor")
     )
-    pairs = edges.select(F.explode(F.array(F.struct(F.col("u").alias("centre"), F.col("w").alias("node")), F.struct(F.col("w").alias("centre"), F.col("u").alias("node")))).alias("p"))
-    visits = pairs.select("p.centre", "p.node").distinct().join(floors, "node").select("centre", "node", "floor", "v")
-    return visits.repartition("centre").sortWithinPartitions("centre").mapInArrow(met, _EDGE)
-
-
-def _and_last(batches: Iterator) -> Iterator:
-    yield from batches
-    yield None
+    end = lambda centre, node: F.struct(F.col(centre).alias("centre"), F.col(node).alias("node"), "new")
+    pairs = edges.select(F.explode(F.array(end("u", "w"), end("w", "u"))).alias("p")).groupBy("p.centre", "p.node").agg(F.max("p.new").alias("new"))
+    pairs = pairs.withColumn("any", F.max("new").over(Window.partitionBy("centre"))).filter("any")
+    visits = pairs.join(floors, "node").select("centre", "node", "new", "floor", "v")
+    return visits.repartition("centre").sortWithinPartitions("centre", "node").mapInArrow(met, _EDGE)
 
 
 def graph(nodes: DataFrame, links: int = LINKS, rounds: int = ROUNDS) -> DataFrame:
     """The neighbour graph (u, w, s, k): NN-descent until few edges change."""
-    edges = written(_top(first_graph(nodes, links), links), "knn")
+    edges = written(_top(first_graph(nodes, links), links).withColumn("new", F.lit(True)), "knn")
+    total = edges.count()
     for _ in range(rounds):
         better = descend(nodes, edges, links)
-        after = written(_top(edges.select("u", "w", "s").unionByName(better), links), "knn")
-        changed, total = after.join(edges, ["u", "w"], "left_anti").count(), after.count()
+        known = edges.select("u", "w", F.lit(False).alias("new"))
+        after = _top(edges.select("u", "w", "s").unionByName(better), links).join(known, ["u", "w"], "left")
+        after = written(after.withColumn("new", F.coalesce("new", F.lit(True))), "knn")
         drop_written(edges)
-        edges = after
-        if changed <= SETTLED * total:
+        edges, before = after, total
+        changed, total = after.agg(F.count_if("new"), F.count("*")).first()
+        if changed <= SETTLED * total and total == before:
             break
     return edges
 
@@ -177,13 +172,13 @@ def _inner(a: str, b: str):
     return F.aggregate(F.zip_with(a, b, lambda x, y: x * y), F.lit(0.0), lambda t, x: t + x)
 
 
-def search(nodes: DataFrame, edges: DataFrame, queries: DataFrame, beam: int = BEAM, expand: int = EXPAND, steps: int = STEPS) -> DataFrame:
+def search(nodes: DataFrame, edges: DataFrame, queries: DataFrame, beam: int = BEAM, expand: int = EXPAND) -> DataFrame:
     """`queries` (query_id, node) -> (query_id, node, s): the best nodes that greedy search reaches, the query's own among them."""
     order = Window.partitionBy("query_id").orderBy(F.desc("s"), "node")
     asked = queries.join(nodes, "node").select("query_id", F.col("v").alias("qv"), "node")
     reached = written(asked.select("query_id", "node", _inner("qv", "qv").alias("s"), F.lit(False).alias("done")), "beam")
     both = written(edges.select("u", "w").unionByName(edges.filter(f"k <= {LINKS // 2}").select(F.col("w").alias("u"), F.col("u").alias("w"))).distinct(), "knn-both")
-    for _ in range(steps):
+    while not reached.filter("not done").isEmpty():  # each step marks nodes of a bounded beam that only improves, so it ends
         turn = reached.filter("not done").withColumn("k", F.row_number().over(order)).filter(f"k <= {expand}").select("query_id", "node")
         found = turn.join(both, turn.node == both.u).select("query_id", F.col("w").alias("node")).distinct()
         found = found.join(reached.select("query_id", "node"), ["query_id", "node"], "left_anti")
@@ -193,6 +188,7 @@ def search(nodes: DataFrame, edges: DataFrame, queries: DataFrame, beam: int = B
         after = written(kept, "beam")
         drop_written(reached)
         reached = after
+    drop_written(both)
     return reached.select("query_id", "node", "s")
 
 
@@ -205,5 +201,10 @@ def nearest(table: DataFrame, every: int = 20, top: int = TOP) -> DataFrame:
     asked = vectors.filter(F.col("vec_id") % every == 0).select(F.col("vec_id").alias("query_id"), "v")
     asked = asked.withColumn("h", F.xxhash64("v")).join(nodes.select("node", F.xxhash64("v").alias("h"), F.col("v").alias("nv")), "h").filter("v = nv").select("query_id", "node")
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    hits = search(nodes, edges, asked).join(members, "node").filter("vec_id <> query_id").select("query_id", "vec_id", F.col("s").alias("score"))
-    return hits.withColumn("rank", F.row_number().over(order)).filter(f"rank <= {top}").select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
+    found = search(nodes, edges, asked)
+    hits = found.join(members, "node").filter("vec_id <> query_id").select("query_id", "vec_id", F.col("s").alias("score"))
+    ranked = hits.withColumn("rank", F.row_number().over(order)).filter(f"rank <= {top}")
+    result = written(ranked.select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score"), "nearest")
+    for frame in (found, edges, vectors, nodes, members):
+        drop_written(frame)
+    return result

@@ -179,6 +179,31 @@ def test_neighbours(spark):
     assert neighbours.nearest(frame.limit(0)).count() == 0
 
 
+def test_few_vectors_over_many_partitions_are_searched_exactly(spark):
+    rng = np.random.default_rng(5)
+    x = rng.normal(size=(45, 6))
+    odd = [(-20, x[3].tolist(), "q", 1), (-20, (x[3] + 9).tolist(), "q", 1), (None, x[4].tolist(), "q", 1)]
+    frame = spark.createDataFrame([(i, x[i // 2].tolist(), "q", 1) for i in range(90)] + odd, "vec_id long, embedding array<double>, node string, rank int")
+    held = {i: x[i // 2] for i in range(90)} | {-20: min((x[3].tolist(), (x[3] + 9).tolist()))}
+    conf = {"spark.sql.shuffle.partitions": "200", "spark.sql.adaptive.enabled": "false"}
+    before = {k: spark.conf.get(k) for k in conf}
+    try:
+        for k, v in conf.items():
+            spark.conf.set(k, v)
+        got = neighbours.nearest(frame.filter("vec_id is null or vec_id < 30")).collect()
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    held = {i: np.array(v) for i, v in held.items() if i < 30}
+    for q in (-20, 0, 20):
+        want = sorted(((-float(np.dot(held[q], v)), i) for i, v in held.items() if i != q))[:20]
+        mine = sorted((r["rank"], r.vec_id, r.score) for r in got if r.query_id == q)
+        assert [r for r, _, _ in mine] == list(range(1, 21))
+        assert np.allclose([-s for s, _ in want], [s for _, _, s in mine])
+        assert {i for s, i in want if s < want[-1][0] - 1e-9} <= {i for _, i, _ in mine}
+    assert {r.query_id for r in got} == {-20, 0, 20}
+
+
 def test_toxicity(spark, docs):
     rng = random.Random(8)
     make = lambda bad: " ".join([*rng.sample(WORDS, 12), *(["grobkak" + rng.choice("abcdefgh")] if bad else []), *rng.sample(WORDS, 12)])
