@@ -30,13 +30,13 @@ from pyspark.sql import functions as F
 from cellgrid.llm.cluster import drop_written, tables, written
 
 TOP = 20
-LINKS = 24
+LINKS = 32
 #: Hyperplane codes, their bits at most, nodes compared at once, and how many times that a bucket's part may hold.
 TREES, CODE_BITS, BLOCK, PARTS = 6, 40, 512, 8
 #: Rounds of NN-descent end when this share of links or less is new; ROUNDS is a guard that is not reached in practice.
 ROUNDS, SETTLED = 24, 0.005
 VISITORS = 512
-BEAM, EXPAND = 96, 24
+BEAM, EXPAND = 256, 48
 
 
 def valid_vectors(table: DataFrame) -> DataFrame:
