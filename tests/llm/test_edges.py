@@ -355,7 +355,33 @@ def test_shards_are_merged_and_versions_are_kept(spark, tmp_path):
     with pytest.raises(Exception, match="(?i)exist"):
         store.commit(store.manifest(), 5)
     assert store.version() == 6
-    assert len(store.vacuum()) == 5 and store.read().count() == 500
+    spark.range(3).withColumn("shard", F.lit("lost")).coalesce(1).write.parquet(f"file://{tmp_path}/store/shards/arrival-lost")  # never committed
+    assert len(store.vacuum()) == 5 and store.read().count() == 500 and store.versions() == [6]
+    assert len(store.vacuum(grace_seconds=0)) == 1 and store.read().count() == 500
+    with pytest.raises(ValueError, match="columns"):
+        store.append(spark.range(3))
+
+
+def test_manifests_name_files_of_the_target_size_and_all_rows(spark, tmp_path):
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    store = sharding.ShardStore(spark, f"file://{tmp_path}/store", target_bytes=1 << 18)
+    for k in range(6):
+        store.append(docs.filter(f"doc_id % 6 = {k}").repartition(3), by="source")
+    small = store.manifest().count()
+    store.compact()
+    now = store.manifest().collect()
+    assert len(now) < small and sum(r.rows for r in now) == docs.count() and max(r.bytes for r in now) < 3 * (1 << 18)
+    assert {r.tier for r in now} == {max(0, int(np.floor(np.log(r.bytes / sharding.SMALLEST_TIER) / np.log(4)))) for r in now}
+    assert sorted(r.doc_id for r in store.read().collect()) == sorted(r.doc_id for r in docs.collect())
+
+
+def test_empty_tables_and_clashing_columns_are_sharded(spark, docs, tmp_path):
+    for at, by in enumerate((None, "text")):
+        none = sharding.sharded(docs.limit(0), f"file://{tmp_path}/none{at}", by=by)
+        assert none.count() == 0 and none.columns == [*docs.columns, "shard", "shard_bytes"]
+    clash = docs.withColumnRenamed("n", "shard").withColumnRenamed("row", "_metadata")
+    got = sharding.sharded(clash, f"file://{tmp_path}/clash")
+    assert got.columns == [*clash.columns, "shard_", "shard_bytes"] and got.filter("shard = 1 and shard_ like '%.parquet'").count() == len(ROWS)
 
 
 def test_rows_of_every_kind_are_sharded(spark, docs, tmp_path):
