@@ -3,6 +3,7 @@
 import hashlib
 import itertools
 import random
+import time
 from collections import Counter
 
 import numpy as np
@@ -234,6 +235,56 @@ def test_main_text(page, want):
     assert mainhtml.main_text(page) == want
 
 
+SENTENCE = "This is a long sentence, with words and commas, about something. "
+
+
+@pytest.mark.parametrize(
+    ("page", "want"),
+    [
+        # a teaser in an article element beside the text
+        ("<article>nav nav nav</article><div>" + f"<p>{SENTENCE}</p>" * 50 + "</div>", "\n".join([SENTENCE.strip()] * 50)),
+        # a container without an article: its short paths follow, the sidebar's do not
+        (f"<div class=story><h2>Head</h2><p>{SENTENCE * 4}</p><blockquote>Quoted words</blockquote><ul><li>one<li>two</ul></div><div class=x><ul><li>Three<li>four</ul></div>", f"Head\n{(SENTENCE * 4).strip()}\nQuoted words\none\ntwo"),
+        # a second, short article
+        (f"<article><p>{SENTENCE * 20}</p></article><article><p>Short one.</p></article>", f"{(SENTENCE * 20).strip()}\nShort one."),
+        # names that speak against everything decide nothing
+        (f"<div class=with-sidebar><h1>T</h1><p>{SENTENCE * 9}</p></div><div class=sidebar>More, text. Here.</div>", f"T\n{(SENTENCE * 9).strip()}"),
+        # reader comments and adverts in the article, however long
+        (f"<article><p>{SENTENCE * 3}</p><div class=ad>{SENTENCE * 9}</div><section id=comments><p>{SENTENCE * 9}</p></section></article>", (SENTENCE * 3).strip()),
+    ],
+)
+def test_main_text_is_told_by_ratios(page, want):
+    assert mainhtml.main_text(page) == want
+
+
+@pytest.mark.parametrize("make", ["<div>x", '<a "', "<a ", "<p>x", "<b><i>", "<!--", '<a b="', "<table><td>x", "</div>"])
+def test_broken_pages_are_read_in_linear_time(make):
+    began = time.monotonic()
+    mainhtml.main_text(make * (1_000_000 // len(make)))
+    assert time.monotonic() - began < 10
+
+
+@given(st.lists(st.tuples(st.sampled_from(["one", "two", "three"]), st.sampled_from(["p", "h2", "li"]), st.integers(1, 30), st.integers(0, 4)), min_size=1, max_size=12))
+@settings(max_examples=100, deadline=None)
+def test_ratios_are_those_of_their_paths(blocks):
+    """On plain pages of three containers, content by ratios computed from lists."""
+    page = "".join(f"<div class={c}><{t}>{'w' * n}{'.' * k}</{t}></div>" for c, t, n, k in blocks)
+    by_path, by_home = {}, {}
+    for c, t, n, k in blocks:
+        by_path.setdefault((c, t), []).append((n + k, k))
+        by_home.setdefault(c, []).append((n + k, k))
+    mean = lambda rows, at: sum(r[at] for r in rows) / len(rows)
+    mixed = lambda p, at: mainhtml.OWN * mean(by_path[p], at) + (1 - mainhtml.OWN) * mean(by_home[p[0]], at)
+    ratio = {p: mixed(p, 0) * (0.5 + mixed(p, 1)) for p in by_path}
+    total = {p: sum(n for n, _ in rows) for p, rows in by_path.items()}
+    bar = mainhtml.SHARE * ratio[max(by_path, key=lambda p: total[p] * ratio[p])]
+    hits = {p for p in by_path if ratio[p] >= bar}
+    whole = {c for c in by_home if sum(total[p] for p in hits if p[0] == c) >= mainhtml.CONTAINER * sum(n for n, _ in by_home[c])}
+    near = any(abs(r - bar) < 1e-9 * bar for r in ratio.values())  # sums in another order
+    want = ["w" * n + "." * k for c, t, n, k in blocks if (c, t) in hits or c in whole]
+    assert near or mainhtml.main_text(page) == "\n".join(want)
+
+
 def test_main_text_of_odd_tables(spark):
     frame = spark.createDataFrame([(1, None, None, "k"), (1, "u", "<p>x", "k"), (None, "u", "<p>x", "k")], "page_id long, url string, html string, text string")
     assert sorted(((r.page_id, r.text, r.n_chars) for r in mainhtml.extract(frame).collect()), key=repr) == sorted([(1, "", 0), (1, "x", 1), (None, "x", 1)], key=repr)
