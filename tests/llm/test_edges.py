@@ -2,6 +2,7 @@
 
 import hashlib
 import itertools
+import os
 import random
 import time
 from collections import Counter
@@ -395,6 +396,68 @@ def test_licenses(spark):
     assert got[7, "a/b/z.txt"][0] == "GPL-3.0"
 
 
+def brute_license(texts):
+    """Per text the header most like one of its lines by plain TF-IDF cosine, and the cosine."""
+    split = licenses.terms
+    lines = [line for t in texts for line in (t or "").split("\n")]
+    with_term = Counter(t for line in lines for t in {w.strip(".,;:()") for w in line.lower().split()})
+    weigh = lambda c, known: {t: (1 + np.log(k)) * (np.log((1 + len(lines)) / (1 + with_term[t] * (t in known))) + 1) for t, k in c.items()}
+    templates = [(name, Counter(split(t))) for name, t in licenses.HEADERS]
+    known = {t for _, text in (*licenses.HEADERS, *licenses.BODIES) for t in split(text)}
+    cosine = lambda x, y: sum(w * y.get(t, 0) for t, w in x.items()) / np.sqrt(sum(w * w for w in x.values()) * sum(w * w for w in y.values()))
+    out = []
+    for t in texts:
+        found = [(cosine(weigh(Counter(split(line)), known), weigh(c, known)), name) for line in (t or "").split("\n") if split(line) for name, c in templates]
+        out.append(max(found, key=lambda f: f[0], default=(0.0, None)))
+    return out
+
+
+def test_license_scores_are_tfidf_cosines(spark):
+    texts = [prose(300 + i, 12) + "\n" + header + "\n" + prose(400 + i, 12) for i, (_, header) in enumerate(licenses.HEADERS)] + [prose(5, 30), None]
+    frame = spark.createDataFrame([(i, f"d/{i}", t, 1.0) for i, t in enumerate(texts)], "doc_id long, path string, text string, score double")
+    got = {r.doc_id: r for r in licenses.scan(frame).collect()}
+    for i, (score, name) in enumerate(brute_license(texts)):
+        assert got[i].own_license == (name if score >= licenses.SIMILARITY else None)
+        assert got[i].own_license is None or got[i].score >= score - 1e-9  # joined lines may score higher
+
+
+def test_license_files_and_their_directories(spark):
+    body = {name: text for name, text in licenses.BODIES}
+    wrapped = lambda t: "\n".join(t[i : i + 70] for i in range(0, len(t), 70))
+    rows = [
+        (1, "m/LICENSE", "MIT License\n\nCopyright (c) 2020 A. Person\n\n" + wrapped(body["MIT"])), (2, "b/COPYING", "Copyright (c) 1999 Some University\n" + body["BSD-3-Clause"]),
+        (3, "m/a/x.py", "nothing"), (4, "b/y", None), (5, "m/a/own.c", "/*\n * " + wrapped(body["ISC"]).replace("\n", "\n * ") + "\n */\n" + prose(70, 400)), (6, "m/long", prose(71, 30_000)),
+    ]
+    places = {"Apache-2.0": "Apache-2.0", "GPL-3": "GPL-3.0", "GPL-2": "GPL-2.0", "BSD": "BSD-3-Clause", "MPL-2.0": "MPL-2.0", "LGPL-3": "LGPL-3.0"}
+    there = [(k, v) for k, v in places.items() if os.path.isfile(f"/usr/share/common-licenses/{k}")]  # whole texts, where the system has them
+    for at, (name, _) in enumerate(there):
+        rows += [(100 + at, f"t{at}/LICENSE", open(f"/usr/share/common-licenses/{name}").read()), (200 + at, f"t{at}/src/z", prose(80 + at, 50))]
+    got = {r.doc_id: r for r in licenses.scan(spark.createDataFrame(rows, "doc_id long, path string, text string")).collect()}
+    assert [(got[i].own_license, got[i].is_license_file) for i in (1, 2, 5, 6)] == [("MIT", True), ("BSD-3-Clause", True), ("ISC", False), (None, False)]
+    assert (got[3].license, got[3].license_dir) == ("MIT", "m") and (got[4].license, got[4].license_dir) == ("BSD-3-Clause", "b") and got[6].license == "MIT"
+    for at, (_, name) in enumerate(there):
+        assert (got[100 + at].own_license, got[100 + at].is_license_file, got[200 + at].license) == (name, True, name)
+
+
+def test_licenses_of_odd_tables(spark, docs):
+    odd = docs.withColumn("path", F.lit("a/b")).withColumn("home", F.lit("x")).withColumn("license", F.lit("y"))
+    got = licenses.scan(odd)
+    assert got.columns == ["doc_id", "path", "own_license", "score", "is_license_file", "license", "license_dir"] and got.count() == len(ROWS)
+    assert licenses.scan(odd.limit(0)).count() == 0
+    tied = [(i, f"d/{n}", "Released under the MIT License." if n < "c" else "Licensed under the Apache License, Version 2.0.") for i, n in enumerate("dbac")] + [(9, "d/e/f", "x")]
+    frame = spark.createDataFrame(tied, "doc_id long, path string, text string")
+    want = {r.doc_id: r for r in licenses.scan(frame).collect()}
+    top = min((-r.score, r.path, r.own_license) for r in want.values() if r.is_license_file)
+    assert (want[9].license, want[9].license_dir) == (top[2], "d")
+
+
+def test_many_directories_are_joined_by_salt(spark, monkeypatch):
+    monkeypatch.setattr(licenses, "HOMES_AT_ONCE", 1)
+    rows = [(k, f"d{k % 3}/{k}", "Released under the MIT License." if k < 3 else "x") for k in range(60)] + [(99, None, "x")]
+    got = licenses.scan(spark.createDataFrame(rows, "doc_id long, path string, text string")).collect()
+    assert len(got) == 61 and sum(r.license == "MIT" for r in got) == 60
+
+
 def test_shards_are_merged_and_versions_are_kept(spark, tmp_path):
     store = sharding.ShardStore(spark, f"file://{tmp_path}/store", target_bytes=1 << 20)
     for k in range(5):
