@@ -15,12 +15,10 @@ a family verification is exact and its work stays near its size:
 1. every document is verified against its smallest relative, which joins a group of n by n pairs;
 2. families that are not one group then are searched by prefix filter: two sets of similarity 0.8
    share one of each one's rarest fifth of shingles, rarity counted within the family, so a document
-   with over with over a fifth of its own is compared with nothing. Each row of such a posting is verified
-   against one row of another group, TURNS times; Each row of such a posting is verified
-   against one row of another group;
-3. last, rows of such postings that are still in two groups are verified all against all, by counting
-   common shingles in blocks of bounded size; rows of a family's largest group are not compared with
-   each other. What a block gives are the links that join groups, never its pairs.
+   with over a fifth of its own is compared with nothing;
+3. rows that share such a shingle with a row of another group are verified all against all, by
+   counting common shingles in blocks of bounded size; rows of a family's largest group are not
+   compared with each other. What a block gives are the links that join groups, never its pairs.
 
 So the groups are the connected components of all pairs at 0.8 or more inside families; only a pair
 that shares no triple, directly or through relatives, can be missed.
@@ -55,8 +53,6 @@ SEEN = 2
 DIFFERING = 36
 #: Documents of a posting that are compared with each other at once.
 BLOCK = 2048
-#: Times that the rows of a posting are verified against one row each before all pairs left are.
-TURNS = 2
 #: Rows of a family that are verified against each other in one task, and their shingles.
 BLOCK_ROWS, BLOCK_SHINGLES = 1024, 1 << 20
 #: Parts that a family's rows are dealt to.
@@ -224,13 +220,11 @@ def _prefixes(rows: DataFrame) -> DataFrame:
     return ranked.filter(F.col("at") <= F.col("size") - F.ceil(SIMILARITY * F.col("size") - 1e-9)).select("family", "shingle", "node")
 
 
-def _postings_of_many(prefixes: DataFrame, state: DataFrame, turn: int = 0) -> DataFrame:
-    """(family, shingle, node, component, lo, hi): postings of rows of more than one component, with a row of the least
-    and one of the greatest, other ones each turn."""
+def _of_several(prefixes: DataFrame, state: DataFrame) -> DataFrame:
+    """(node) of the rows that have a posting in common with a row of another component."""
     held = prefixes.join(state.select("node", "component"), "node")
-    one = F.struct("component", F.xxhash64(F.lit(turn), "node").alias("order"), "node")
-    ends = held.groupBy("family", "shingle").agg(F.min(one).alias("lo"), F.max(one).alias("hi"))
-    return held.join(ends.filter("lo.component < hi.component"), ["family", "shingle"])
+    ends = held.groupBy("family", "shingle").agg(F.min("component").alias("lo"), F.max("component").alias("hi"))
+    return held.join(ends.filter("lo < hi"), ["family", "shingle"]).select("node").distinct()
 
 
 def _merged(state: DataFrame, found: DataFrame) -> DataFrame:
@@ -306,17 +300,7 @@ def _joined(met: DataFrame, sets: DataFrame) -> DataFrame:
     salted = state.withColumn("salt", F.pmod(F.xxhash64("node"), F.lit(SALTS)).cast("int"))  # a family can be large
     rows = written(salted.join(several, ["family", "salt"], "left_semi").select("node", "family").join(sets, "node"), "neardup-open")
     prefixes = written(_prefixes(rows), "neardup-prefixes")
-    other = F.when(F.col("component") == F.col("lo.component"), F.col("hi.node")).otherwise(F.col("lo.node"))
-    for turn in range(TURNS):
-        some = _postings_of_many(prefixes, state, turn).select(F.col("node").alias("a"), other.alias("b"))
-        found = written(_alike(some.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), rows), "neardup-alike")
-        if found.isEmpty():
-            break
-        before, state = state, _merged(state, found)
-        drop_written(before)
-        drop_written(found)
-    left = _postings_of_many(prefixes, state).select("node").distinct()
-    left = written(rows.join(left, "node").join(state.select("node", "component"), "node"), "neardup-left")
+    left = written(rows.join(_of_several(prefixes, state), "node").join(state.select("node", "component"), "node"), "neardup-left")
     done = _merged(state, _linked(left))
     for frame in (rows, prefixes, left, state):
         drop_written(frame)
