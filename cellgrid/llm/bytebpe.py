@@ -27,6 +27,8 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from cellgrid.llm.cluster import bounded
+
 #: Entries of a cache, and the longest chunk that is kept: together they bound its memory, whatever the texts.
 CACHE_ENTRIES, CACHED_CHARS = 400_000, 48
 SCHEMA = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
@@ -157,5 +159,5 @@ def digests(docs: DataFrame, ranks_path: str, pattern: str) -> DataFrame:
                 names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"],
             )
 
-    source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    source = bounded(docs).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     return source.mapInArrow(run, SCHEMA)

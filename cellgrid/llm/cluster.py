@@ -11,6 +11,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 
+#: Rows of an Arrow batch.
+TEXTS_AT_ONCE = 1500
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder named in spark.checkpoint.dir. Where it is unset, one is made and set on a single machine; a cluster must name it."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
@@ -22,6 +26,14 @@ def shared_dir(spark: SparkSession) -> str:
     return folder
 
 
+def bounded(docs: DataFrame) -> DataFrame:
+    """`docs`, whose whole texts go to Python: in batches of few rows, so that long texts do not add up. A size set by the user stays."""
+    conf, key = docs.sparkSession.conf, "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if conf.get(key) == "10000":  # Spark's own
+        conf.set(key, str(TEXTS_AT_ONCE))
+    return docs
+
+
 def written(df: DataFrame, name: str = "step") -> DataFrame:
     """`df` written as Parquet to the shared folder and read back: a cut that survives lost executors."""
     path = f"{shared_dir(df.sparkSession)}/cellgrid-{name}-{uuid.uuid4().hex}"

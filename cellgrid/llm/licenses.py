@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cellgrid.llm.cluster import written
+from cellgrid.llm.cluster import bounded, written
 from cellgrid.llm.license_texts import BODIES, HEADERS, TITLES
 
 #: A header, and a run of lines, is a licence from these cosines on (bodies are templates of parts of long licences).
@@ -188,7 +188,7 @@ def scan(files: DataFrame) -> DataFrame:
                 names=["doc_id", "path", "own_license", "score", "is_license_file"],
             )
 
-    source = files.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("path").cast("string").alias("path"), F.col("text").cast("string").alias("text"))
+    source = bounded(files).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("path").cast("string").alias("path"), F.col("text").cast("string").alias("text"))
     found = source.mapInArrow(run, "doc_id long, path string, own_license string, score double, is_license_file boolean")
     return inherit(written(found, "licenses"))
 

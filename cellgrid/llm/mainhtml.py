@@ -30,6 +30,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from cellgrid.llm.cluster import bounded
+
 #: A path is content from this share of the heaviest path's fused ratio.
 SHARE = 0.4
 #: A container gives all its paths from this share of its letters in content paths.
@@ -308,5 +310,5 @@ def extract(pages: DataFrame) -> DataFrame:
                 names=["page_id", "url", "text", "n_chars"],
             )
 
-    source = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.col("html").cast("string").alias("html"))
+    source = bounded(pages).select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.col("html").cast("string").alias("html"))
     return source.mapInArrow(run, "page_id long, url string, text string, n_chars long")

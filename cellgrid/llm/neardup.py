@@ -39,7 +39,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from cellgrid.llm.cluster import drop_written, tables, written
+from cellgrid.llm.cluster import bounded, drop_written, tables, written
 from cellgrid.llm.components import components
 from cellgrid.llm.simhash import shingle_hashes
 
@@ -90,7 +90,7 @@ def signatures(docs: DataFrame, *more: str) -> DataFrame:
             copies = pa.array([xxhash.xxh3_128_digest(h.tobytes()) for h in hashes], pa.binary())
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], *(pa.array(sigs[:, w].copy()) for w in range(WORDS)), copies], names=["doc_id", *more, *names, "copy"])
 
-    return docs.select("doc_id", *more, "text").mapInArrow(run, f"doc_id long, {', '.join(n + ' long' for n in (*more, *names))}, copy binary")
+    return bounded(docs).select("doc_id", *more, "text").mapInArrow(run, f"doc_id long, {', '.join(n + ' long' for n in (*more, *names))}, copy binary")
 
 
 def links(distinct: DataFrame, first: int = 0, last: int = KEYS) -> DataFrame:

@@ -26,6 +26,8 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from cellgrid.llm.cluster import bounded
+
 WINDOW = 2048
 TIERS = (256, 512, 1024, 2048)
 END_ID = 1
@@ -242,5 +244,5 @@ def pack(docs: DataFrame, tokenizer_path: str) -> DataFrame:
         packer.finish()
         yield packer.drain()
 
-    source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    source = bounded(docs).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     return source.mapInArrow(run, SCHEMA)

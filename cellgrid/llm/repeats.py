@@ -31,7 +31,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from cellgrid.llm.cluster import drop_written, written
+from cellgrid.llm.cluster import bounded, drop_written, written
 
 LENGTH = 200
 GRAM = 32
@@ -279,7 +279,7 @@ def _runs(docs: DataFrame) -> DataFrame:
                     names=["h", "d1", "d2", "doc_id", "row", "start", "n", "weight"],
                 )
 
-    return docs.select("doc_id", "row", F.col("text").cast("binary").alias("text")).mapInArrow(run, _RUN_SCHEMA)
+    return bounded(docs).select("doc_id", "row", F.col("text").cast("binary").alias("text")).mapInArrow(run, _RUN_SCHEMA)
 
 
 def _blocks(column: pa.Array) -> Iterator[list[int]]:

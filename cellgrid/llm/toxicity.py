@@ -26,6 +26,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from cellgrid.llm.cluster import bounded
+
 #: The documented bound of the training sample: labelled documents of each class, by least hash of their id.
 MAX_TOXIC, MAX_CLEAN = 1500, 2500
 #: Clean spans drawn for one round, and spans kept of each toxic text after the first round.
@@ -35,7 +37,7 @@ SPAN, STRIDE = 8, 4
 GRAMS = (3, 4, 5)
 BUCKETS, DIM = 1 << 17, 12
 ROUNDS, BATCH, RATE = 5, 256, 0.15
-CACHE_ENTRIES = 500_000
+CACHE_ENTRIES = 200_000
 _MARKS = ".,;:!?|\"'()[]{}<>*#$%&+-=_~/\\"
 
 
@@ -235,7 +237,7 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
             scores = [model.score(t.as_py()) for t in batch.column(1)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(scores, pa.float64())], names=["doc_id", "score"])
 
-    source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    source = bounded(docs).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     return source.mapInArrow(run, "doc_id long, score double").select(
         "doc_id",
         F.coalesce(in_held_out(F.col("doc_id")), F.lit(False)).alias("held_out"),
@@ -253,4 +255,4 @@ def keep_clean(docs: DataFrame, model: Model) -> DataFrame:
         for batch in batches:
             yield batch.filter(pa.array([model.score(t.as_py()) < THRESHOLD for t in batch.column(at)], pa.bool_()))
 
-    return docs.mapInArrow(run, docs.schema)
+    return bounded(docs).mapInArrow(run, docs.schema)
