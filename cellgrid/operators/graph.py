@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
-def closure(edges: DataFrame, seeds: DataFrame, limit: int = 10_000) -> DataFrame:
+def closure(edges: DataFrame, seeds: DataFrame) -> DataFrame:
     """Nodes reachable from `seeds` (node) along `edges` (src, dst), the seeds among them.
 
     Each round joins only the frontier; the frontier is checkpointed to the shared folder, so plans stay short.
@@ -15,10 +15,13 @@ def closure(edges: DataFrame, seeds: DataFrame, limit: int = 10_000) -> DataFram
     if not spark.conf.get("spark.checkpoint.dir", None) and not spark.sparkContext.getCheckpointDir():
         import tempfile
 
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+
         spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="cellgrid-"))  # unset: tests on one machine
     seen = seeds.select("node").distinct().checkpoint()
     frontier = seen
-    for _ in range(limit):
+    while True:  # every round adds nodes, so it ends
         frontier = frontier.join(edges, frontier.node == edges.src).select(F.col("dst").alias("node")).distinct().join(seen, "node", "left_anti").checkpoint()
         if frontier.isEmpty():
             break
@@ -82,5 +85,7 @@ def run_models(spark: SparkSession, models: dict[str, str], wanted: str) -> Data
 
 
 def frozen(frame: DataFrame) -> DataFrame:
-    """(rows, digest): the same for the same rows in any order."""
-    return frame.agg(F.count("*").alias("rows"), F.sum(F.xxhash64(*frame.columns).cast("decimal(38,0)")).alias("digest"))
+    """(rows, digest): the same for the same rows in any order; the digest sums 48 bits of each row's MD5, as any engine can."""
+    text = F.concat_ws("|", *(frame[f"`{c}`"].cast("string") for c in frame.columns))
+    bits = F.conv(F.substring(F.md5(text), 1, 12), 16, 10).cast("decimal(38,0)")
+    return frame.agg(F.count("*").alias("rows"), F.sum(bits).alias("digest"))

@@ -37,9 +37,6 @@ _AGG_SQL = {
 def _agg(code: int):
     def run(spark, sf_dir):
         lines = table(spark, sf_dir, "lineitem")
-        if code == 6:
-            lines = lines.filter("l_linenumber = 1 and l_orderkey < 300")
-            return lines.withColumn("f", 1 + F.col("l_discount")).groupBy("l_returnflag").agg(F.round(aggregate.aggregate(6, "f"), 6).alias("v"))
         k = {16: 0.35, 17: 1}.get(code)
         x = "l_extendedprice" if code in (16, 17) else "l_quantity"
         v = aggregate.aggregate(code, x, k)
@@ -49,12 +46,12 @@ def _agg(code: int):
 
 
 for _code, _sql in _AGG_SQL.items():
-    _where = " WHERE l_linenumber = 1 AND l_orderkey < 300" if _code == 6 else ""
-    query(f"SELECT l_returnflag, {_sql} v FROM lineitem{_where} GROUP BY 1", f"agg_{_code:02d}")(_agg(_code))
+    if _code != 6:  # a product over all lines is not finite: by order, below
+        query(f"SELECT l_returnflag, {_sql} v FROM lineitem GROUP BY 1", f"agg_{_code:02d}")(_agg(_code))
 
 
 @query("SELECT l_orderkey, round(exp(sum(ln(1 + l_discount))), 6) v FROM lineitem GROUP BY 1")
-def agg_06_by_order(spark, sf_dir):
+def agg_06(spark, sf_dir):
     """PRODUCT over all lines; an order's product stays finite."""
     lines = table(spark, sf_dir, "lineitem").withColumn("f", 1 + F.col("l_discount"))
     return lines.groupBy("l_orderkey").agg(F.round(aggregate.aggregate(6, "f"), 6).alias("v"))
@@ -321,10 +318,21 @@ def rolling_sum4(spark, sf_dir):
     return daily.select("day", F.sum("v").over(Window.orderBy("day").rowsBetween(0, 3)).cast("double").alias("total"))
 
 
-@query("SELECT p_partkey, p_name FROM part ORDER BY upper(p_name), p_partkey LIMIT 50")
+def _placed(rows, order):
+    """`rows` with their place in `order`: ranked within ranges of the first letter, each range after the sizes of those before."""
+    first = F.substring(order[0], 1, 2)
+    rows = rows.withColumn("range", first)
+    before = Window.orderBy("range").rowsBetween(Window.unboundedPreceding, -1)  # over one row a range
+    starts = rows.groupBy("range").agg(F.count("*").alias("n")).select("range", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("start"))
+    ranked = rows.withColumn("at", F.row_number().over(Window.partitionBy("range").orderBy(*order)))
+    return ranked.join(starts, "range").select("p_partkey", "p_name", (F.col("start") + F.col("at")).alias("place"))
+
+
+@query("SELECT p_partkey, p_name, row_number() OVER (ORDER BY upper(p_name), p_partkey) AS place FROM part")
 def sort_excel(spark, sf_dir):
-    """The first fifty by text in any case."""
-    return table(spark, sf_dir, "part").orderBy(F.upper("p_name"), "p_partkey").limit(50).select("p_partkey", "p_name")
+    """SORT without regard to case, each row with its place."""
+    rows = table(spark, sf_dir, "part").select("p_partkey", "p_name")
+    return _placed(rows, [F.upper("p_name"), F.col("p_partkey")])
 
 
 @query("SELECT min(p_type) AS p_type FROM part GROUP BY upper(p_type)")
@@ -458,11 +466,11 @@ def bit_funcs(spark, sf_dir):
     return table(spark, sf_dir, "events").select("event_id", *(X[f](e, n).cast("long").alias(c) for f, n, c in (("BITAND", 12, "a"), ("BITOR", 5, "o"), ("BITXOR", 9, "x"), ("BITLSHIFT", 2, "l"), ("BITRSHIFT", 2, "r"))))
 
 
-@query("SELECT event_id, upper(to_hex(event_id)) h, to_binary(event_id) b, event_id AS back FROM (SELECT event_id FROM events WHERE event_id > 0)")
+@query("SELECT event_id, upper(to_hex(event_id)) h, to_binary(event_id) b, event_id AS back FROM events")
 def base_funcs(spark, sf_dir):
     e = F.col("event_id")
     h = X["DEC2HEX"](e)
-    return table(spark, sf_dir, "events").filter("event_id > 0").select("event_id", h.alias("h"), X["DEC2BIN"](e).alias("b"), X["HEX2DEC"](h).cast("long").alias("back"))
+    return table(spark, sf_dir, "events").select("event_id", h.alias("h"), X["DEC2BIN"](e).alias("b"), X["HEX2DEC"](h).cast("long").alias("back"))
 
 
 @query("SELECT o_orderkey, round(-(o_totalprice * pow(1 + r, 24)) / ((pow(1 + r, 24) - 1) / r), 6) v FROM (SELECT o_orderkey, o_totalprice, CAST(0.01 AS DOUBLE) r FROM orders)")
@@ -482,10 +490,10 @@ def finance_sln(spark, sf_dir):
     return table(spark, sf_dir, "orders").select("o_orderkey", F.round(X["SLN"](p, 1000, 10), 6).alias("sln"), F.round(X["SYD"](p, 1000, 10, 3), 6).alias("syd"))
 
 
-@query("SELECT o_orderkey, round(o_totalprice * r * pow(1 - r, 2), 4) v FROM (SELECT o_orderkey, o_totalprice, round(1 - pow(1000 / o_totalprice, CAST(0.1 AS DOUBLE)), 3) r FROM orders WHERE o_totalprice > 2000)")
+@query("SELECT o_orderkey, round(o_totalprice * r * pow(1 - r, 2), 4) v FROM (SELECT o_orderkey, o_totalprice, round(1 - pow(1000 / o_totalprice, CAST(0.1 AS DOUBLE)), 3) r FROM orders)")
 def finance_db(spark, sf_dir):
     p = F.col("o_totalprice")
-    return table(spark, sf_dir, "orders").filter("o_totalprice > 2000").select("o_orderkey", F.round(X["DB"](p, 1000, F.lit(10), 3), 4).alias("v"))
+    return table(spark, sf_dir, "orders").select("o_orderkey", F.round(X["DB"](p, 1000, F.lit(10), 3), 4).alias("v"))
 
 
 @query("SELECT l_returnflag, round(regr_slope(l_extendedprice, l_quantity), 4) slope, round(regr_intercept(l_extendedprice, l_quantity), 3) intercept, round(regr_r2(l_extendedprice, l_quantity), 6) r2 FROM lineitem GROUP BY 1")
