@@ -24,7 +24,7 @@ def components(links: DataFrame) -> DataFrame:
     """
     links = links.filter("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
     # a node's links side by side where they are few enough, as they are contracted best so; any dealing is right
-    links = written(links.hint("rebalance", "a").mapInArrow(_stars, "a long, b long"), "links")
+    links = written(links.hint("rebalance", "a").mapInArrow(_stars, "a long, b long").distinct(), "links")
     mark = _mark(links)
     while mark[0]:
         both = links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
