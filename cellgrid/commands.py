@@ -10,7 +10,6 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cellgrid.operators import census, diff as differ, journal, shift
-from cellgrid.schema import CELL_COLUMNS
 from cellgrid.sources import xlsx
 
 
@@ -31,7 +30,7 @@ def inspect(spark: SparkSession, path: str, redact: bool = False) -> dict[str, D
         called = called.withColumn("name", hidden).groupBy("name", "class", "volatile").agg(F.sum("sites").alias("sites"))
     return {
         "sheets": by_sheet,
-        "columns": census.columns(cells) if not redact else census.columns(cells).drop("sheet"),
+        "columns": census.columns(cells) if not redact else census.redacted(census.columns(cells)),
         "errors": census.errors(cells) if not redact else census.errors(cells).groupBy("err").agg(F.sum("n").alias("n")),
         "functions": called,
         "flags": census.part_flags(parts),
@@ -40,8 +39,13 @@ def inspect(spark: SparkSession, path: str, redact: bool = False) -> dict[str, D
 
 
 def diff(spark: SparkSession, old: str, new: str) -> dict:
-    """What differs between two workbooks: totals, totals by sheet, sheets of one side, and the first changes."""
-    a, b = (xlsx.cells(spark, p).select(*CELL_COLUMNS) for p in (old, new))
+    """What differs between two workbooks, or two folders of them: totals, totals by sheet, sheets of one side, and the first changes.
+
+    Books are paired by file name; where each side has a single book they are a pair whatever their names.
+    """
+    a, b = (xlsx.cells(spark, p) for p in (old, new))
+    if all(_single(xlsx.books(spark, p)) for p in (old, new)):
+        a, b = a.drop("book"), b.drop("book")
     found = differ.changes(a, b)
     totals = differ.summary(found).first().asDict()
     return {
@@ -53,6 +57,14 @@ def diff(spark: SparkSession, old: str, new: str) -> dict:
     }
 
 
+def _single(books: DataFrame) -> bool:
+    """Whether there is one book; names that two books share are an error, as nothing would tell their cells apart."""
+    twice = books.groupBy("book").agg(F.count("*").alias("n")).filter("n > 1").first()
+    if twice:
+        raise ValueError(f"{twice.n} books are named {twice.book}")
+    return len(books.limit(2).collect()) == 1
+
+
 def restructured(cells: DataFrame, edit: shift.Edit) -> DataFrame:
     """All cells of a book after a structural edit of `edit.sheet`: moved there, with references to it rewritten everywhere.
 
@@ -77,9 +89,9 @@ def certify(original: DataFrame, edited: DataFrame, edit: shift.Edit) -> dict:
     reasons = {r.reason: r.n for r in refused.groupBy("reason").agg(F.count("*").alias("n")).collect()}
     if reasons:
         return {"verdict": "refused", "residuals": reasons}
-    expected = restructured(original, edit).select(*CELL_COLUMNS)
-    counts = differ.certified(expected, edited.select(*CELL_COLUMNS)).first().asDict()
-    return counts | {"samples": differ.samples(expected, edited.select(*CELL_COLUMNS))}
+    expected = restructured(original, edit)
+    counts = differ.certified(expected, edited).first().asDict()
+    return counts | {"samples": differ.samples(expected, edited)}
 
 
 def verify(receipts: DataFrame, current: DataFrame | None = None) -> dict[str, DataFrame]:

@@ -1,4 +1,4 @@
-"""What a book holds: populated cells, extents, kinds, errors and function calls."""
+"""What books hold: populated cells, extents, kinds, errors and function calls; sheets of different books are apart where cells have a `book`."""
 
 from __future__ import annotations
 
@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cellgrid.functions.policy import LITERALS
+from cellgrid.schema import sheet_of
 
 #: A call: a name right before a parenthesis, outside of quotes.
 _CALL = r"([A-Za-z_][A-Za-z0-9_.]*)\("
@@ -17,7 +18,7 @@ VOLATILE = NONDETERMINISTIC + "OFFSET INDIRECT CELL INFO".split()
 
 def sheets(cells: DataFrame) -> DataFrame:
     """Per sheet: cells, formulas, errors and the populated extent (0 where there is none)."""
-    return cells.groupBy("sheet").agg(
+    return cells.groupBy(*sheet_of(cells)).agg(
         F.count("*").alias("cells"),
         F.count("formula").alias("formulas"),
         F.count("err").alias("errors"),
@@ -29,12 +30,12 @@ def sheets(cells: DataFrame) -> DataFrame:
 def columns(cells: DataFrame) -> DataFrame:
     """Per sheet and column: populated cells by kind and the rows between which they lie."""
     kinds = [F.count_if(F.col("kind") == k).alias(n) for k, n in (("n", "numbers"), ("s", "texts"), ("b", "booleans"), ("e", "error_cells"))]
-    return cells.groupBy("sheet", "col").agg(F.count("*").alias("cells"), *kinds, F.min("row").alias("first_row"), F.max("row").alias("last_row"))
+    return cells.groupBy(*sheet_of(cells), "col").agg(F.count("*").alias("cells"), *kinds, F.min("row").alias("first_row"), F.max("row").alias("last_row"))
 
 
 def errors(cells: DataFrame) -> DataFrame:
     """Per sheet a histogram of error literals."""
-    return cells.filter("err is not null").groupBy("sheet", "err").agg(F.count("*").alias("n"))
+    return cells.filter("err is not null").groupBy(*sheet_of(cells), "err").agg(F.count("*").alias("n"))
 
 
 def calls(formulas: DataFrame, formula: str = "formula") -> DataFrame:
@@ -66,11 +67,12 @@ def classified(functions: DataFrame, catalog: DataFrame, defined_names: DataFram
 
 
 def redacted(per_sheet: DataFrame) -> DataFrame:
-    """Sheet names replaced by `sheet_N`, N in order of name."""
+    """Sheet names replaced by `sheet_N`, N in order of name within the book."""
     from pyspark.sql import Window
 
-    names = per_sheet.select("sheet").distinct().withColumn("n", F.row_number().over(Window.orderBy("sheet")))  # a book's sheets are few
-    return per_sheet.join(F.broadcast(names), "sheet").drop("sheet").withColumn("sheet", F.concat(F.lit("sheet_"), "n")).drop("n")
+    sheet = sheet_of(per_sheet)
+    names = per_sheet.select(*sheet).distinct().withColumn("n", F.row_number().over(Window.partitionBy(*sheet[:-1]).orderBy("sheet")))  # a book's sheets are few
+    return per_sheet.join(names, sheet).drop("sheet").withColumn("sheet", F.concat(F.lit("sheet_"), "n")).drop("n")
 
 
 def part_flags(parts: DataFrame, part: str = "part") -> DataFrame:

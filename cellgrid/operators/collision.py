@@ -5,24 +5,26 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from cellgrid.schema import sheet_of
+
 
 def spans(cells: DataFrame) -> DataFrame:
-    return cells.groupBy("sheet", "col").agg(F.min("row").alias("first_row"), F.max("row").alias("last_row"), F.count("*").alias("cells"))
+    return cells.groupBy(*sheet_of(cells), "col").agg(F.min("row").alias("first_row"), F.max("row").alias("last_row"), F.count("*").alias("cells"))
 
 
 def adjacent(cells: DataFrame) -> DataFrame:
     """Per column: neighbours down that are both there, and those that are equal."""
-    down = Window.partitionBy("sheet", "col").orderBy("row")
+    down = Window.partitionBy(*sheet_of(cells), "col").orderBy("row")
     raw = F.struct("kind", "num", "str", "bool", "err")
     pair = cells.withColumn("next_row", F.lead("row").over(down)).withColumn("next", F.lead(raw).over(down)).filter("next_row = row + 1")
-    return pair.groupBy("sheet", "col").agg(F.count("*").alias("pairs"), F.count_if(F.col("next").eqNullSafe(raw)).alias("equal"))
+    return pair.groupBy(*sheet_of(cells), "col").agg(F.count("*").alias("pairs"), F.count_if(F.col("next").eqNullSafe(raw)).alias("equal"))
 
 
 def uniform(cells: DataFrame) -> DataFrame:
     """Per column: pairs of cells, and pairs that are equal, counted from value counts and never formed."""
-    by_value = cells.groupBy("sheet", "col", "kind", "num", "str", "bool", "err").agg(F.count("*").alias("c"))
+    by_value = cells.groupBy(*sheet_of(cells), "col", "kind", "num", "str", "bool", "err").agg(F.count("*").alias("c"))
     n = F.sum("c")
-    return by_value.groupBy("sheet", "col").agg((n * (n - 1) / 2).cast("long").alias("pairs"), F.sum(F.col("c") * (F.col("c") - 1) / 2).cast("long").alias("equal"))
+    return by_value.groupBy(*sheet_of(cells), "col").agg((n * (n - 1) / 2).cast("long").alias("pairs"), F.sum(F.col("c") * (F.col("c") - 1) / 2).cast("long").alias("equal"))
 
 
 def rate_summary(rates: DataFrame, x: str = "rate") -> DataFrame:

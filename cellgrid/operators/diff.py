@@ -1,22 +1,26 @@
-"""Difference and certification of two snapshots: one full outer join on the cell's coordinates."""
+"""Difference and certification of two snapshots: one full outer join on the cell's coordinates.
+
+Where both sides have a `book` it is one of the coordinates, so books of a folder are compared each with its own.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from cellgrid.schema import CELL_COLUMNS, KEY, same_raw
+from cellgrid.schema import CELL_COLUMNS, KEY, place, same_raw, sheet_of
 
 CAP = 10_000
 SAMPLE = 8
 
 
 def sheet_changes(old: DataFrame, new: DataFrame) -> DataFrame:
-    """Sheets of one side only, with their cells: sheet, change (added or removed), cells."""
-    a = old.groupBy("sheet").agg(F.count("*").alias("cells"))
-    b = new.groupBy("sheet").agg(F.count("*").alias("cells"))
-    added = b.join(a, "sheet", "left_anti").withColumn("change", F.lit("added"))
-    return added.unionByName(a.join(b, "sheet", "left_anti").withColumn("change", F.lit("removed")))
+    """Sheets of one side only, with their cells: (book where both have it), sheet, change (added or removed), cells."""
+    sheet = [c for c in sheet_of(old) if c in new.columns]
+    a = old.groupBy(*sheet).agg(F.count("*").alias("cells"))
+    b = new.groupBy(*sheet).agg(F.count("*").alias("cells"))
+    added = b.join(a, sheet, "left_anti").withColumn("change", F.lit("added"))
+    return added.unionByName(a.join(b, sheet, "left_anti").withColumn("change", F.lit("removed")))
 
 
 def _kind() -> Column:
@@ -35,13 +39,14 @@ def _kind() -> Column:
 def changes(old: DataFrame, new: DataFrame, all_sheets: bool = False) -> DataFrame:
     """The cells that differ, with `kind` of change; of sheets on both sides unless all_sheets."""
     sides = []
+    key = [c for c in place(old) if c in new.columns]
+    sheet = [c for c in key if c not in ("row", "col")]
     for prefix, own, other in (("old_", old, new), ("new_", new, old)):
-        own = own.select(*CELL_COLUMNS)
         if not all_sheets:
-            own = own.join(F.broadcast(other.select("sheet").distinct()), "sheet", "left_semi")  # sheet names only
+            own = own.join(other.select(*sheet).distinct(), sheet, "left_semi")
         values = [F.col(c).alias(prefix + c) for c in CELL_COLUMNS if c not in KEY]
-        sides.append(own.select(*KEY, *values, F.lit(True).alias(prefix + "there")))
-    both = sides[0].join(sides[1], KEY, "full")
+        sides.append(own.select(*key, *values, F.lit(True).alias(prefix + "there")))
+    both = sides[0].join(sides[1], key, "full")
     return both.withColumn("change", _kind()).filter("change is not null").drop("old_there", "new_there")
 
 
@@ -51,12 +56,12 @@ def summary(found: DataFrame, by_sheet: bool = False) -> DataFrame:
         F.count_if(F.col("change").isin("formula", "value", "format")).alias("changed"),
         *(F.count_if(F.col("change") == c).alias(c) for c in ("added", "removed", "cached_value")),
     ]
-    return found.groupBy("sheet").agg(*counts) if by_sheet else found.agg(*counts)
+    return found.groupBy(*sheet_of(found)).agg(*counts) if by_sheet else found.agg(*counts)
 
 
 def capped(found: DataFrame, cap: int = CAP) -> DataFrame:
-    """The first `cap` changes in order of sheet, row and column; a top-k, so no full sort."""
-    return found.orderBy(*KEY).limit(cap)
+    """The first `cap` changes in order of (book,) sheet, row and column; a top-k, so no full sort."""
+    return found.orderBy(*place(found)).limit(cap)
 
 
 def certified(expected: DataFrame, edited: DataFrame) -> DataFrame:
@@ -70,7 +75,7 @@ def certified(expected: DataFrame, edited: DataFrame) -> DataFrame:
 def samples(expected: DataFrame, edited: DataFrame, n: int = SAMPLE) -> DataFrame:
     """The first disqualifying differences."""
     bad = changes(expected, edited, all_sheets=True).filter(F.col("change").isin("formula", "value", "added", "removed"))
-    return bad.orderBy(*KEY).limit(n).select(*KEY, "change")
+    return bad.orderBy(*place(bad)).limit(n).select(*place(bad), "change")
 
 
 def agrees(a: Column, b: Column, relative: float = 1e-9, absolute: float = 1e-12) -> Column:

@@ -14,7 +14,7 @@ def _bare(formula: Column) -> Column:
 
 def dynamic_reference(formula: Column) -> Column:
     """Whether what a formula reads is only known when it runs."""
-    return _bare(formula).rlike(r"(?i)\b(INDIRECT|OFFSET)\(")
+    return _bare(formula).rlike(r"(?i)\b(INDIRECT|OFFSET)\s*\(")
 
 
 def uncertifiable(formula: Column) -> Column:
@@ -24,12 +24,14 @@ def uncertifiable(formula: Column) -> Column:
 
 
 def dynamic_sql(expression: Column) -> Column:
-    """A CASE whose branch is a column: what is read depends on the data."""
-    return expression.rlike(r"(?is)\bcase\b.*\bthen\s+[a-z_]\w*\b")
+    """A CASE whose branch is a column, quoted or not: what is read depends on the data."""
+    # fixed values: this pattern and the next one, as they decide alike elsewhere
+    return expression.rlike(r'(?is)\bcase\b.*\bthen\b\s*"?[a-z_]')
 
 
 def leftover_template(sql: Column) -> Column:
-    return F.contains(sql, F.lit("{{")) | F.contains(sql, F.lit("{%"))
+    """Whether a template's expression, statement or comment is left."""
+    return sql.rlike(r"\{[{%#]")
 
 
 def looks_like_cell(name: Column) -> Column:

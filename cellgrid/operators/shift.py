@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cellgrid.a1 import col_letters, col_number
-from cellgrid.schema import MAX_COL, MAX_ROW
+from cellgrid.schema import MAX_COL, MAX_ROW, place
 
 
 @dataclass(frozen=True)
@@ -244,7 +244,7 @@ def sqref(text: Column, edit: Edit) -> Column:
 
 
 def residuals(formulas: DataFrame, edit: Edit) -> DataFrame:
-    """Reasons to refuse an edit: sheet, row, col, reason. A move refuses ranges that partly overlap the moved span."""
+    """Reasons to refuse an edit: (book where there is one,) sheet, row, col, reason. A move refuses ranges that partly overlap the moved span."""
     f = F.col("formula")
     bare = F.regexp_replace(f, r'"[^"]*"', "")
     rules = {
@@ -272,4 +272,4 @@ def residuals(formulas: DataFrame, edit: Edit) -> DataFrame:
 
         rules["move_straddles_range"] = straddles(f)
     hits = F.array_compact(F.array(*(F.when(rule, F.lit(name)) for name, rule in rules.items())))
-    return formulas.filter("formula is not null").select("sheet", "row", "col", F.explode(hits).alias("reason"))
+    return formulas.filter("formula is not null").select(*place(formulas), F.explode(hits).alias("reason"))

@@ -18,6 +18,16 @@ ERRORS = (
 ).split()
 
 
+def place(frame: DataFrame) -> list[str]:
+    """The columns that tell a frame's cells apart: KEY, and the book where the frame has one."""
+    return (["book"] if "book" in frame.columns else []) + KEY
+
+
+def sheet_of(frame: DataFrame) -> list[str]:
+    """The columns that tell a frame's sheets apart."""
+    return [c for c in place(frame) if c not in ("row", "col")]
+
+
 def raw(prefix: str = "") -> Column:
     """The comparison basis of a cell: its tag and values together."""
     return F.struct(*(F.col(prefix + c).alias(c) for c in ("kind", "num", "str", "bool", "err")))

@@ -121,6 +121,11 @@ def _books(spark: SparkSession, path: str) -> DataFrame:
     return files.select(F.substring_index("path", "/", -1).alias("book"), "content")
 
 
+def books(spark: SparkSession, path: str) -> DataFrame:
+    """(book): a row for each workbook under a path; contents are not read."""
+    return _books(spark, path).select("book")
+
+
 def parts(spark: SparkSession, path: str) -> DataFrame:
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
