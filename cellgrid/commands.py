@@ -15,12 +15,12 @@ from cellgrid.sources import xlsx
 
 def inspect(spark: SparkSession, path: str, redact: bool = False) -> dict[str, DataFrame]:
     """Sheets, columns, errors, functions by class, part flags and digests of the workbooks under a path. No cell's value is shown."""
-    from cellgrid.functions.registry import FUNCTIONS
+    from cellgrid.functions.registry import supported
 
     cells = xlsx.cells(spark, path)
     parts = xlsx.parts(spark, path)
     names = xlsx.defined_names(spark, path)
-    catalog = spark.createDataFrame([(n,) for n in FUNCTIONS], "name string")
+    catalog = spark.createDataFrame([(n,) for n in supported()], "name string")
     formulas = cells.filter("formula is not null").select("formula").unionByName(names.select(F.col("refers_to").alias("formula")))
     called = census.classified(census.functions(formulas), catalog, names.select("name"))
     by_sheet = census.sheets(cells)

@@ -1,0 +1 @@
+from cellgrid.functions import distributions  # registers its functions

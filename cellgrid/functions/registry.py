@@ -183,12 +183,10 @@ _family(
 )
 FUNCTIONS["NPV"] = lambda rate, *flows: reduce(lambda a, b: a + b, [_col(f) / F.pow(1 + _col(rate), F.lit(i)) for i, f in enumerate(flows, 1)])
 
-# distributions with closed forms
+# transforms; the distributions are in `cellgrid.functions.distributions`
 _SQRT_2PI = math.sqrt(2 * math.pi)
 _family(
-    STANDARDIZE=lambda x, m, s: (x - m) / s, PHI=lambda x: F.exp(-x * x / 2) / _SQRT_2PI, EXPON__DIST=lambda x, rate: 1 - F.exp(-rate * x), FISHER=lambda x: F.when(F.abs(x) < 1, 0.5 * F.log((1 + x) / (1 - x))), FISHERINV=lambda y: (F.exp(2 * y) - 1) / (F.exp(2 * y) + 1),
-    WEIBULL__DIST=lambda x, a, b: 1 - F.exp(-F.pow(x / b, a)), POISSON__DIST=lambda k, m: F.exp(-m) * F.pow(m, k) / FUNCTIONS["FACT"](k), BINOM__DIST=lambda k, n, p: FUNCTIONS["COMBIN"](n, k) * F.pow(p, k) * F.pow(1 - p, n - k),
-    HYPGEOM__DIST=lambda k, n, good, total: FUNCTIONS["COMBIN"](good, k) * FUNCTIONS["COMBIN"](total - good, n - k) / FUNCTIONS["COMBIN"](total, n), NEGBINOM__DIST=lambda f, s, p: FUNCTIONS["COMBIN"](f + s - 1, s - 1) * F.pow(p, s) * F.pow(1 - p, f),
+    STANDARDIZE=lambda x, m, s: (x - m) / s, PHI=lambda x: F.exp(-x * x / 2) / _SQRT_2PI, FISHER=lambda x: F.when(F.abs(x) < 1, 0.5 * F.log((1 + x) / (1 - x))), FISHERINV=lambda y: (F.exp(2 * y) - 1) / (F.exp(2 * y) + 1),
 )
 
 #: Aggregates: name -> builder over one numeric column (or two).
@@ -200,5 +198,12 @@ AGGREGATES = {
     "SUMXMY2": lambda x, y: F.sum((_col(x) - _col(y)) * (_col(x) - _col(y))), "KURT.P": F.kurtosis, "SKEW.P": F.skewness, "MODE.SNGL": lambda x: F.mode(x, True), "COUNTUNIQUE": F.count_distinct,
 }
 FUNCTIONS |= {k: v for k, v in AGGREGATES.items() if k not in FUNCTIONS}
-#: Looked up by joins (`cellgrid.operators.lookup`), so known here by name alone.
-FUNCTIONS |= dict.fromkeys("VLOOKUP HLOOKUP XLOOKUP MATCH XMATCH INDEX SUMIF SUMIFS COUNTIF COUNTIFS AVERAGEIF AVERAGEIFS MAXIFS MINIFS AGGREGATE SUBTOTAL GROUPBY PIVOTBY DSUM DCOUNT DGET SORT FILTER UNIQUE VSTACK HSTACK TRANSPOSE MMULT CONVERT EUROCONVERT NOW TODAY RAND RANDBETWEEN FILTERXML".split())
+#: Operators over whole tables (`cellgrid.operators`): supported, though no expression over the columns of a row.
+BY_OPERATOR = (
+    "VLOOKUP SUMIF SUMIFS COUNTIF COUNTIFS AVERAGEIF AVERAGEIFS MAXIFS MINIFS AGGREGATE SUBTOTAL GROUPBY PIVOTBY DSUM DCOUNT DGET MMULT"
+).split()
+
+
+def supported() -> list[str]:
+    """The names of all functions that have code."""
+    return sorted({*FUNCTIONS, *BY_OPERATOR})

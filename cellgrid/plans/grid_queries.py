@@ -104,9 +104,9 @@ def census_functions(spark, sf_dir):
     f"SELECT name, sites, CASE name WHEN 'WEBSERVICE' THEN 'policy_limited' WHEN 'MYFUNC' THEN 'user_defined' ELSE 'supported' END AS class, name = 'NOW' AS volatile FROM ({_CALLS_SQL})"
 )
 def census_classes(spark, sf_dir):
-    from cellgrid.functions.registry import FUNCTIONS
+    from cellgrid.functions.registry import supported
 
-    catalog = spark.createDataFrame([(n,) for n in FUNCTIONS], "name string")
+    catalog = spark.createDataFrame([(n,) for n in supported()], "name string")
     own = spark.createDataFrame([("MyFunc",)], "name string")
     return census.classified(census.functions(_formulas(spark, sf_dir)), catalog, own)
 
