@@ -87,9 +87,9 @@ def group_by(frame: DataFrame, keys: list[str], value: str, function: str = "SUM
     depth = max(0, min(abs(depth), n))
     shown = [F.min(k).alias(k) for k in keys]
     if function == "PERCENTOF":
-        grand = F.sum(F.when(F.col("_level") == n, F.col("value"))).over(_all())
-        out = group_by(frame, keys, value, "SUM", n).withColumnRenamed("level", "_level")
-        out = out.withColumn("value", F.col("value") / grand).withColumnRenamed("_level", "level")
+        grand = frame.agg(F.sum(value).alias("_grand"))  # one row
+        out = group_by(frame, keys, value, "SUM", n).crossJoin(F.broadcast(grand))
+        out = out.withColumn("value", F.col("value") / F.col("_grand")).drop("_grand")
         return out.filter(F.col("level").isin(0, *range(n - depth + 1, n + 1)))
     own = folded(frame, keys)
     total = own.rollup(*(f"_f{i}" for i in range(n))).agg(F.grouping_id().alias("_g"), *shown, ETA[function](value).alias("value"))
@@ -107,12 +107,6 @@ def group_by(frame: DataFrame, keys: list[str], value: str, function: str = "SUM
     return total.select(*labels, "value", F.col("level").cast("int").alias("level"))
 
 
-def _all():
-    from pyspark.sql import Window
-
-    return Window.partitionBy(F.lit(0))  # over the groups, not the input
-
-
 def pivot_by(frame: DataFrame, rows: list[str], column: str, value: str, function: str = "SUM", values: list | None = None, totals: bool = True) -> DataFrame:
     """PIVOTBY with a grand total column and row; `values`: the column keys, where they are known."""
     cells = frame.groupBy(*rows).pivot(column, values).agg(ETA[function](value))
@@ -130,5 +124,8 @@ def shares(frame: DataFrame, row: str, column: str, value: str, relative_to: int
     from pyspark.sql import Window
 
     cells = frame.groupBy(row, column).agg(F.sum(value).alias("v"))
-    part = {0: Window.partitionBy(column), 1: Window.partitionBy(row), 2: Window.partitionBy(F.lit(0))}[relative_to]
+    if relative_to == 2:
+        grand = frame.agg(F.sum(value).alias("_grand"))  # one row
+        return cells.crossJoin(F.broadcast(grand)).select(row, column, (F.col("v") / F.col("_grand")).alias("share"))
+    part = {0: Window.partitionBy(column), 1: Window.partitionBy(row)}[relative_to]
     return cells.select(row, column, (F.col("v") / F.sum("v").over(part)).alias("share"))

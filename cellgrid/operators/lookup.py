@@ -6,11 +6,11 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def exact(probes: DataFrame, table: DataFrame, key: str, value: str, order: str | None = None) -> DataFrame:
-    """First match wins; no match gives the error #N/A. Text keys match in any case."""
+def exact(probes: DataFrame, table: DataFrame, key: str, value: str, order: str) -> DataFrame:
+    """The match that is first by `order` wins; no match gives the error #N/A. Text keys match in any case."""
     text = dict(table.dtypes)[key] == "string"
     fold = F.upper if text else (lambda c: c)
-    first = F.min_by(value, order) if order else F.first(value)
+    first = F.min_by(value, order)
     found = table.groupBy(fold(F.col(key)).alias("_key")).agg(first.alias("found"), F.lit(True).alias("_hit"))
     out = probes.join(found, fold(probes[key]) == found["_key"], "left")
     return out.withColumn("err", F.when(F.col("_hit").isNull(), "#N/A")).drop("_key", "_hit")
