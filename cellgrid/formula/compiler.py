@@ -213,6 +213,37 @@ def compiled(node: Node, cells: dict[str, Value]) -> Value:
     return _called(node.value, [compiled(x, cells) for x in node.args])
 
 
+def _is(kind: str):
+    return lambda v, err: Value("b", err.isNull() & v.col.isNotNull() if v.type == kind else F.lit(False))
+
+
+#: Numbers of errors and of types: fixed values.
+_ERROR_TYPES = {"#NULL!": 1, "#DIV/0!": 2, "#VALUE!": 3, "#REF!": 4, "#NAME?": 5, "#NUM!": 6, "#N/A": 7, "#GETTING_DATA": 8}
+_TYPES = {"n": 1.0, "s": 2.0, "b": 4.0}
+
+
+def _error_type(err):
+    number = F.lit(None).cast("double")
+    for literal, n in _ERROR_TYPES.items():
+        number = F.when(err == literal, float(n)).otherwise(number)
+    return Value("n", number, F.when(number.isNull(), "#N/A"))
+
+
+#: Functions about a value, which take errors and do not pass them on.
+_ABOUT = {
+    "ISERROR": lambda v, err: Value("b", err.isNotNull()),
+    "ISNA": lambda v, err: Value("b", F.coalesce(err == "#N/A", F.lit(False))),
+    "ISERR": lambda v, err: Value("b", F.coalesce(err != "#N/A", F.lit(False))),
+    "ISBLANK": lambda v, err: Value("b", err.isNull() & v.col.isNull()),
+    "ISNUMBER": _is("n"),
+    "ISTEXT": _is("s"),
+    "ISLOGICAL": _is("b"),
+    "ISNONTEXT": lambda v, err: Value("b", ~_is("s")(v, err).col),
+    "TYPE": lambda v, err: Value("n", F.when(err.isNotNull(), 16.0).when(v.col.isNull(), 1.0).otherwise(_TYPES[v.type])),
+    "ERROR.TYPE": lambda v, err: _error_type(err),
+}
+
+
 def _called(name: str, args: list[Value]) -> Value:
     if name == "IF":
         test, yes, *no = args
@@ -231,9 +262,11 @@ def _called(name: str, args: list[Value]) -> Value:
             value, other = as_text(value), as_text(other)
         other_err = other.err if other.err is not None else F.lit(None).cast("string")
         return Value(value.type, F.when(caught, other.col).otherwise(value.col), F.when(caught, other_err).otherwise(value.err))
-    if name in ("ISERROR", "ISNA"):
-        err = args[0].err if args[0].err is not None else F.lit(None).cast("string")
-        return Value("b", err.isNotNull() if name == "ISERROR" else F.coalesce(err == "#N/A", F.lit(False)))
+    if name == "NA":
+        return Value("n", F.lit(None).cast("double"), F.lit("#N/A"))
+    if name in _ABOUT:
+        (value,) = args
+        return _ABOUT[name](value, value.err if value.err is not None else F.lit(None).cast("string"))
     if name in ("AND", "OR", "NOT", "XOR"):
         args = [as_boolean(a) for a in args]
         return Value("b", FUNCTIONS[name](*(a.col for a in args)), _errors(*args))

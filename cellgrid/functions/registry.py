@@ -204,6 +204,10 @@ BY_OPERATOR = (
 ).split()
 
 
+#: About a value and its error together: code is in `cellgrid.formula.compiler`.
+BY_COMPILER = "ERROR.TYPE ISERR ISERROR ISLOGICAL ISNA ISNONTEXT ISTEXT NA TYPE".split()
+
+
 def supported() -> list[str]:
     """The names of all functions that have code."""
-    return sorted({*FUNCTIONS, *BY_OPERATOR})
+    return sorted({*FUNCTIONS, *BY_OPERATOR, *BY_COMPILER})

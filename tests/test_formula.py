@@ -12,6 +12,13 @@ CASES = [
 ]
 
 
+CASES += [
+    ("=ISTEXT(C1)", True), ("=ISTEXT(A1)", False), ("=ISTEXT(D1)", False), ("=ISNONTEXT(A1/B1)", True), ("=ISNONTEXT(C1)", False), ("=ISLOGICAL(A1>1)", True), ("=ISLOGICAL(1)", False), ("=ISNUMBER(C1)", False), ("=ISNUMBER(A1/B1)", False),
+    ("=ISNUMBER(A1)", True), ("=ISBLANK(Z1)", True), ("=ISBLANK(A1/B1)", False), ("=ISERR(A1/B1)", True), ("=ISERR(NA())", False), ("=ISNA(NA())", True), ("=NA()", "#N/A"), ("=TYPE(C1)", 2.0), ("=TYPE(A1/B1)", 16.0), ("=TYPE(Z1)", 1.0),
+    ("=TYPE(TRUE)", 4.0), ("=ERROR.TYPE(A1/B1)", 2.0), ("=ERROR.TYPE(NA())", 7.0), ("=ERROR.TYPE(1)", "#N/A"), ("=IF(ISTEXT(C1),\"t\",\"n\")", "t"),
+]
+
+
 @pytest.fixture(scope="module")
 def frame(spark):
     return spark.createDataFrame([(6.0, 0.0, "Hi", None, None)], "a double, b double, c string, d double, z double")
