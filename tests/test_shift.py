@@ -1,10 +1,13 @@
 """Laws and cases of the coordinate algebra."""
 
+import duckdb
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
+import oracle
 from cellgrid.operators.shift import Edit, line_of, offset_formula, references, shift_formula, span_of, template
+from cellgrid.plans import catalog
 
 POSITIVE = st.integers(1, 200)
 
@@ -62,6 +65,23 @@ def test_filling():
     assert offset_formula("=A1", -1, 0) == "=#REF!"
 
 
+def test_a_table_has_no_last_row():
+    far = Edit("row", "insert", 8, 5, sheet="S", last_row=None)
+    assert shift_formula("=A1048574+SUM(A9:$B$12345678)+9:1048576", far, "S") == ("=A1048579+SUM(A14:$B$12345683)+14:1048581", 3)
+    assert shift_formula("=A1048574", Edit("row", "insert", 8, 5, sheet="S"), "S")[0] == "=#REF!"
+    assert offset_formula("=A1+B$2", 12345678, 0, last_row=None) == "=A12345679+B$2"
+    assert offset_formula("=A1", -1, 0, last_row=None) == offset_formula("=A1", 1048576, 0) == "=#REF!"
+
+
+@pytest.mark.parametrize("name", ["offset_formula"])
+def test_orders_below_the_grid_equal_sql(spark, tmp_path, name):
+    keys = [0, 98, 99, 103, 104, 1048569, 1048570, 1048573, 1048575, 1048576, 8999999, 9999999, 123456789012]
+    spark.createDataFrame([(k,) for k in keys], "o_orderkey long").coalesce(1).write.parquet(f"{tmp_path}/orders.parquet")
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW orders AS SELECT * FROM read_parquet('{tmp_path}/orders.parquet/*.parquet')")
+    assert oracle.compare(spark, con, catalog.QUERIES[name], catalog.SQL[name], str(tmp_path)) is None
+
+
 def test_template_and_references():
     assert template("=A1*B2+A1") == template("=C7*D9+C7") == "=#0*#1+#0"
     assert references("=S!A1+\"B2\"+C3:D4") == [("S!", "A1"), (None, "C3:D4")]
