@@ -73,7 +73,7 @@ def test_a_table_has_no_last_row():
     assert offset_formula("=A1", -1, 0, last_row=None) == offset_formula("=A1", 1048576, 0) == "=#REF!"
 
 
-@pytest.mark.parametrize("name", ["offset_formula", "shift_formula"])
+@pytest.mark.parametrize("name", ["offset_formula", "shift_formula", "shift_sqref"])
 def test_orders_below_the_grid_equal_sql(spark, tmp_path, name):
     keys = [0, 98, 99, 103, 104, 1048569, 1048570, 1048573, 1048575, 1048576, 8999999, 9999999, 123456789012]
     spark.createDataFrame([(k,) for k in keys], "o_orderkey long").coalesce(1).write.parquet(f"{tmp_path}/orders.parquet")
