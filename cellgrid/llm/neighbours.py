@@ -1,15 +1,13 @@
 """Approximate nearest neighbours by inner product: NN-descent builds a graph, greedy search reads it.
 
 Equal vectors are one node, with the ids that can be among a query's nearest, so copies cost nothing.
-The graph starts from random hyperplane codes: nodes that share a code's first bits (so many that a
-bucket has some BLOCK nodes) are compared in blocks, and large buckets are dealt to parts first. The
-buckets depend on the vectors alone and not on how Spark partitions them; few nodes are one block,
-so they are compared exactly. Each round of NN-descent then joins a node with its neighbours'
-neighbours: every node is sent to the nodes that it is linked with, those that meet there are compared
-with each other where one of the two links is new, and each keeps its best. A node that very many are
-linked with compares its visitors in blocks of fixed size. Rounds end when few links change. Queries
-start from their own node's neighbours and expand the best nodes not yet expanded until the beam has
-none left.
+Nodes are dealt to shards of bounded size by a hash of their id, so shards depend on the table alone
+and not on how Spark partitions it. Each shard is one task: it builds the graph of its nodes by
+NN-descent (`nngraph.py`) and answers every query by greedy search of that graph, in parts that stream
+through it; a query's answers from all shards are merged by their exact scores. So graphs have a bounded
+size however large the table is, and graph and search send a node's vector once and a query's to every
+shard. With more shards a query needs less of each, and from four on a shard's beam is half as wide.
+A shard of few nodes is compared exactly.
 
 Vectors that are null, zero, hold null or non-finite components, or have another number of
 components than most, take no part. Of rows with one vec_id the least vector counts; a null vec_id
@@ -27,16 +25,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from cellgrid.llm import nngraph
 from cellgrid.llm.cluster import drop_written, tables, written
 
 TOP = 20
-LINKS = 32
-#: Hyperplane codes, their bits at most, nodes compared at once, and how many times that a bucket's part may hold.
-TREES, CODE_BITS, BLOCK, PARTS = 6, 40, 512, 8
-#: Rounds of NN-descent end when this share of links or less is new; ROUNDS is a guard that is not reached in practice.
-ROUNDS, SETTLED = 24, 0.005
-VISITORS = 512
-BEAM, EXPAND = 256, 48
+#: Nodes of a shard at most, and components of its vectors; queries held and answered at once.
+SHARD_ROWS, SHARD_VALUES, QUERIES, ASKED = 32_768, 1 << 24, 1024, 64
 
 
 def valid_vectors(table: DataFrame) -> DataFrame:
@@ -59,137 +53,59 @@ def classes(vectors: DataFrame, top: int = TOP) -> tuple[DataFrame, DataFrame]:
     return nodes.select("node", "v"), members.join(nodes, ["h", "v"]).select("node", "vec_id")
 
 
-def _best(s: np.ndarray, keep: int) -> tuple[np.ndarray, np.ndarray]:
-    """(row, column) of the `keep` largest of each row."""
-    keep = min(keep, s.shape[1])
-    at = np.argpartition(-s, keep - 1, axis=1)[:, :keep]
-    return np.repeat(np.arange(len(s)), keep), at.ravel()
-
-
-_EDGE = "u long, w long, s double"
-
-
-def _edges(u: list, w: list, s: list) -> pa.RecordBatch:
-    cat = lambda x, kind: np.concatenate(x) if x else np.empty(0, kind)
-    return pa.RecordBatch.from_arrays([pa.array(cat(u, np.int64)), pa.array(cat(w, np.int64)), pa.array(cat(s, np.float64))], names=["u", "w", "s"])
-
-
 def _matrix(column: pa.Array) -> np.ndarray:
     flat = column.flatten().to_numpy(zero_copy_only=False)
     return flat.reshape(len(column), -1) if len(column) else np.empty((0, 0))
 
 
-def first_graph(nodes: DataFrame, links: int = LINKS, seed: int = 11) -> DataFrame:
-    """Edges (u, w, s) between nodes that random hyperplanes put in one bucket."""
-    bits = min(CODE_BITS, max(0, math.ceil(math.log2(max(1, nodes.count()) / BLOCK))))
-
-    def coded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            x = _matrix(batch.column(1))
-            for tree in range((TREES if bits else 1) if len(x) else 0):
-                planes = np.random.default_rng(seed + tree).normal(size=(x.shape[1], bits))
-                code = (x @ planes > 0).astype(np.int64) @ (1 << np.arange(bits, dtype=np.int64))
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(x), tree, np.int32)), pa.array(code), *batch.columns], names=["tree", "code", "node", "v"])
-
-    def compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for bucket in tables(batches, 3):
-            node, v = bucket.column(3).to_numpy(), _matrix(bucket.column(4).combine_chunks())
-            for part in np.array_split(np.arange(len(node)), -(-len(node) // BLOCK)):
-                ids, x = node[part], v[part]
-                s = x @ x.T
-                np.fill_diagonal(s, -np.inf)
-                a, b = _best(s, links)
-                ok = s[a, b] > -np.inf
-                a, b = a[ok], b[ok]
-                yield _edges([ids[a]], [ids[b]], [s[a, b]])
-
-    spread = nodes.mapInArrow(coded, "tree int, code long, node long, v array<double>")
-    sizes = spread.groupBy("tree", "code").agg(F.ceil(F.count("*") / (PARTS * BLOCK)).cast("int").alias("parts"))
-    split = sizes.filter("parts > 1")  # its parts hold PARTS * BLOCK nodes each, so there are few
-    part = F.pmod(F.xxhash64("node"), F.coalesce("parts", F.lit(1))).cast("int")
-    dealt = spread.join(split, ["tree", "code"], "left").select("tree", "code", part.alias("part"), "node", "v")
-    return dealt.repartition("tree", "code", "part").sortWithinPartitions("tree", "code", "part", "node").mapInArrow(compared, _EDGE)
-
-
-def _top(edges: DataFrame, links: int) -> DataFrame:
-    """The best `links` edges of each node."""
-    order = Window.partitionBy("u").orderBy(F.desc("s"), "w")
-    once = edges.groupBy("u", "w").agg(F.max("s").alias("s"))
-    return once.withColumn("k", F.row_number().over(order)).filter(f"k <= {links}")
-
-
-def descend(nodes: DataFrame, edges: DataFrame, links: int = LINKS) -> DataFrame:
-    """Edges that a meeting of every node's neighbours finds, better than the worst that the ends have now.
-
-    `edges` (u, w, s, new): pairs of which no link is new have met before and are not compared again.
-    """
-
-    def met(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for meeting in tables(batches, 1):
-            ids, new, floor = (meeting.column(k).to_numpy() for k in (1, 2, 3))
-            x = _matrix(meeting.column(4).combine_chunks())
-            us, ws, ss = [], [], []
-            for part in np.array_split(np.arange(len(ids)), -(-len(ids) // VISITORS)):
-                own, low, y, fresh = ids[part], floor[part], x[part], np.flatnonzero(new[part])
-                s = y[fresh] @ y.T
-                s[np.arange(len(fresh)), fresh] = -np.inf
-                for ahead, best in ((True, s > low[fresh][:, None]), (False, s > low[None, :])):
-                    i, j = np.nonzero(best)
-                    us.append(own[fresh[i]] if ahead else own[j])
-                    ws.append(own[j] if ahead else own[fresh[i]])
-                    ss.append(s[i, j])
-            yield _edges(us, ws, ss)
-
-    worst = edges.groupBy("u").agg(F.min("s").alias("low"), F.count("*").alias("k"))
-    floors = nodes.join(worst, nodes.node == worst.u, "left").select(
-        "node", "v", F.when(F.col("k") >= links, F.col("low")).otherwise(float("-inf")).alias("floor")
-    )
-    end = lambda centre, node: F.struct(F.col(centre).alias("centre"), F.col(node).alias("node"), "new")
-    pairs = edges.select(F.explode(F.array(end("u", "w"), end("w", "u"))).alias("p")).groupBy("p.centre", "p.node").agg(F.max("p.new").alias("new"))
-    pairs = pairs.withColumn("any", F.max("new").over(Window.partitionBy("centre"))).filter("any")
-    visits = pairs.join(floors, "node").select("centre", "node", "new", "floor", "v")
-    return visits.repartition("centre").sortWithinPartitions("centre", "node").mapInArrow(met, _EDGE)
-
-
-def graph(nodes: DataFrame, links: int = LINKS, rounds: int = ROUNDS) -> DataFrame:
-    """The neighbour graph (u, w, s, k): NN-descent until few edges change."""
-    edges = written(_top(first_graph(nodes, links), links).withColumn("new", F.lit(True)), "knn")
-    total = edges.count()
-    for _ in range(rounds):
-        better = descend(nodes, edges, links)
-        known = edges.select("u", "w", F.lit(False).alias("new"))
-        after = _top(edges.select("u", "w", "s").unionByName(better), links).join(known, ["u", "w"], "left")
-        after = written(after.withColumn("new", F.coalesce("new", F.lit(True))), "knn")
-        drop_written(edges)
-        edges, before = after, total
-        changed, total = after.agg(F.count_if("new"), F.count("*")).first()
-        if changed <= SETTLED * total and total == before:
-            break
-    return edges
-
-
-def _inner(a: str, b: str):
-    return F.aggregate(F.zip_with(a, b, lambda x, y: x * y), F.lit(0.0), lambda t, x: t + x)
-
-
-def search(nodes: DataFrame, edges: DataFrame, queries: DataFrame, beam: int = BEAM, expand: int = EXPAND) -> DataFrame:
-    """`queries` (query_id, node) -> (query_id, node, s): the best nodes that greedy search reaches, the query's own among them."""
-    order = Window.partitionBy("query_id").orderBy(F.desc("s"), "node")
-    asked = queries.join(nodes, "node").select("query_id", F.col("v").alias("qv"), "node")
-    reached = written(asked.select("query_id", "node", _inner("qv", "qv").alias("s"), F.lit(False).alias("done")), "beam")
-    both = written(edges.select("u", "w").unionByName(edges.filter(f"k <= {LINKS // 2}").select(F.col("w").alias("u"), F.col("u").alias("w"))).distinct(), "knn-both")
-    while not reached.filter("not done").isEmpty():  # each step marks nodes of a bounded beam that only improves, so it ends
-        turn = reached.filter("not done").withColumn("k", F.row_number().over(order)).filter(f"k <= {expand}").select("query_id", "node")
-        found = turn.join(both, turn.node == both.u).select("query_id", F.col("w").alias("node")).distinct()
-        found = found.join(reached.select("query_id", "node"), ["query_id", "node"], "left_anti")
-        scored = found.join(nodes, "node").join(asked.select("query_id", "qv"), "query_id").select("query_id", "node", _inner("qv", "v").alias("s"), F.lit(False).alias("done"))
-        old = reached.join(turn.withColumn("now", F.lit(True)), ["query_id", "node"], "left").select("query_id", "node", "s", (F.col("done") | F.coalesce("now", F.lit(False))).alias("done"))
-        kept = old.unionByName(scored).withColumn("k", F.row_number().over(order)).filter(f"k <= {beam}").drop("k")
-        after = written(kept, "beam")
-        drop_written(reached)
-        reached = after
-    drop_written(both)
-    return reached.select("query_id", "node", "s")
+def scores(q: np.ndarray, x: np.ndarray) -> np.ndarray:
+    """Inner products of rows in double precision, summed from the first component to the last."""
+    out = np.zeros(len(q))
+    with np.errstate(all="ignore"):
+        for k in range(q.shape[1]):
+            out += q[:, k] * x[:, k]
+    return out
+
+
+def _answers(node: np.ndarray, x: np.ndarray, walk: nngraph.Walk, query_id: np.ndarray, own: np.ndarray, q: np.ndarray, keep: int) -> pa.RecordBatch:
+    """(query_id, node, s): the `keep` best nodes that each query reaches in a shard, by their exact scores."""
+    at = np.minimum(np.searchsorted(node, own), len(node) - 1)
+    near = (q / np.abs(q).max(axis=1, keepdims=True)).astype(walk.x.dtype)
+    found = walk.nearest(near, np.where(node[at] == own, at, -1))[:, : 2 * keep]
+    i, j = np.nonzero(found >= 0)
+    w = found[i, j]
+    s = scores(q[i], x[w])
+    order = np.lexsort((w, -s, i))  # rows of a shard stand in the order of their nodes
+    i, w, s = i[order], w[order], s[order]
+    best = np.arange(len(i)) - np.searchsorted(i, i) < keep
+    return pa.RecordBatch.from_arrays([pa.array(query_id[i[best]]), pa.array(node[w[best]]), pa.array(s[best])], names=["query_id", "node", "s"])
+
+
+def search(nodes: DataFrame, queries: DataFrame, top: int = TOP) -> DataFrame:
+    """`queries` (query_id, node, v) -> (query_id, node, s): in every shard of `nodes` the best that greedy search reaches, the query's own among them."""
+    size = nodes.agg(F.count("*").alias("n"), F.coalesce(F.max(F.size("v")), F.lit(1)).alias("dims")).first()
+    shards = max(1, math.ceil(size.n / min(SHARD_ROWS, max(1, SHARD_VALUES // size.dims))))
+    parts = max(1, math.ceil(queries.count() / QUERIES))
+    beam = min(nngraph.BEAM, max(nngraph.BEAM // 2, 2 * nngraph.BEAM // shards))
+
+    def answered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table in tables(batches, 2):
+            part, ids, own = (table.column(k).to_numpy() for k in (1, 2, 3))
+            v = _matrix(table.column(4).combine_chunks())
+            if part[0] == 0:
+                node, x = ids, v
+                walk = nngraph.Walk(nngraph.Graph(nngraph.scaled(x)).descend(), beam)
+                continue
+            for a in range(0, len(ids), ASKED):
+                b = slice(a, a + ASKED)
+                yield _answers(node, x, walk, ids[b], own[b], v[b], top + 1)
+
+    shard = F.pmod(F.xxhash64("node"), F.lit(shards)).cast("int").alias("shard")
+    held = nodes.select(shard, F.lit(0).alias("part"), F.col("node").alias("id"), "node", "v")
+    part = (F.pmod(F.xxhash64("query_id"), F.lit(parts)) + 1).cast("int").alias("part")
+    asked = queries.select(F.explode(F.sequence(F.lit(0), F.lit(shards - 1))).alias("shard"), part, F.col("query_id").alias("id"), "node", "v")
+    dealt = held.unionByName(asked).repartitionById(shards, F.col("shard")).sortWithinPartitions("shard", "part", "id")
+    return dealt.mapInArrow(answered, "query_id long, node long, s double")
 
 
 def nearest(table: DataFrame, every: int = 20, top: int = TOP) -> DataFrame:
@@ -197,14 +113,14 @@ def nearest(table: DataFrame, every: int = 20, top: int = TOP) -> DataFrame:
     vectors = written(valid_vectors(table), "vectors")
     nodes, members = classes(vectors, top)
     nodes, members = written(nodes, "nodes"), written(members, "members")
-    edges = graph(nodes)
     asked = vectors.filter(F.col("vec_id") % every == 0).select(F.col("vec_id").alias("query_id"), "v")
-    asked = asked.withColumn("h", F.xxhash64("v")).join(nodes.select("node", F.xxhash64("v").alias("h"), F.col("v").alias("nv")), "h").filter("v = nv").select("query_id", "node")
+    asked = asked.withColumn("h", F.xxhash64("v")).join(nodes.select("node", F.xxhash64("v").alias("h"), F.col("v").alias("nv")), "h").filter("v = nv").select("query_id", "node", "v")
+    near = Window.partitionBy("query_id").orderBy(F.desc("s"), "node")
+    found = search(nodes, asked, top).withColumn("k", F.row_number().over(near)).filter(f"k <= {top + 1}")
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    found = search(nodes, edges, asked)
     hits = found.join(members, "node").filter("vec_id <> query_id").select("query_id", "vec_id", F.col("s").alias("score"))
     ranked = hits.withColumn("rank", F.row_number().over(order)).filter(f"rank <= {top}")
     result = written(ranked.select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score"), "nearest")
-    for frame in (found, edges, vectors, nodes, members):
+    for frame in (vectors, nodes, members):
         drop_written(frame)
     return result

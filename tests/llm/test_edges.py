@@ -15,7 +15,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from cellgrid.llm import bytebpe, fingerprints, licenses, mainhtml, neardup, neighbours, packing, repeats, sharding, simhash, toxicity
+from cellgrid.llm import bytebpe, fingerprints, licenses, mainhtml, neardup, neighbours, nngraph, packing, repeats, sharding, simhash, toxicity
 
 WORDS = "alpha beta gamma delta epsilon zeta eta theta iota kappa lambda mu nu xi omicron pi rho sigma tau".split()
 
@@ -206,6 +206,54 @@ def test_few_vectors_over_many_partitions_are_searched_exactly(spark):
     assert {r.query_id for r in got} == {-20, 0, 20}
 
 
+def brute_nearest(x, ids, q, top=20):
+    s = x[q] @ x.T
+    s[q] = -np.inf
+    return [ids[k] for k in np.argsort(-s, kind="stable")[:top]]
+
+
+def test_neighbours_of_many_shards(spark, monkeypatch):
+    """Answers come from every shard, and a copy that lies anywhere is found."""
+    monkeypatch.setattr(neighbours, "SHARD_ROWS", 700)
+    rng = np.random.default_rng(9)
+    x = rng.normal(size=(3000, 24))
+    x[1500:1600] = x[40] + 1e-3 * rng.normal(size=(100, 24))
+    frame = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    got = {}
+    for r in neighbours.nearest(frame).collect():
+        got.setdefault(r.query_id, {})[r.vec_id] = r.score
+    assert set(got) == set(range(0, 3000, 20)) and all(len(found) == 20 for found in got.values())
+    assert np.mean([len(set(brute_nearest(x, range(3000), q)) & set(found)) / 20 for q, found in got.items()]) > 0.97
+    assert all(abs(s - float(x[q] @ x[w])) < 1e-9 for q, found in got.items() for w, s in found.items())
+
+
+def test_neighbours_takes_few_jobs(spark):
+    """A vector is sent to its shard and not to its links in every round."""
+    x = np.random.default_rng(10).normal(size=(2500, 16))
+    frame = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    tag = "neighbours-jobs"
+    spark.sparkContext.setJobGroup(tag, tag)
+    try:
+        assert neighbours.nearest(frame).count() == 125 * 20
+    finally:
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    assert len(spark.sparkContext.statusTracker().getJobIdsForGroup(tag)) <= 30
+
+
+@pytest.mark.parametrize(("rows", "factor"), [(1, 1.0), (2, 1.0), (30, 1e200), (600, 1e-200), (5000, 1.0)])
+def test_graph_and_walk(rows, factor):
+    x = np.random.default_rng(rows).normal(size=(rows, 12)) * factor
+    x[0] *= 1e-9  # rows of unlike size are compared in double precision
+    y = nngraph.scaled(x)
+    walk = nngraph.Walk(nngraph.Graph(y).descend())
+    asked = np.arange(0, rows, 20)
+    q = x[asked] / np.abs(x[asked]).max(axis=1, keepdims=True)
+    found = walk.nearest(q.astype(y.dtype), np.where(asked % 40 == 0, asked, -1))
+    want = np.argsort(-(q @ (x / np.abs(x).max()).T), axis=1)[:, :20]
+    assert np.mean([len(set(a) & set(b)) / len(b) for a, b in zip(found, want, strict=True)]) > 0.98
+    assert all(len(set(a[a >= 0])) == (a >= 0).sum() for a in found)
+
+
 def test_toxicity(spark, docs):
     rng = random.Random(8)
     make = lambda bad: " ".join([*rng.sample(WORDS, 12), *(["grobkak" + rng.choice("abcdefgh")] if bad else []), *rng.sample(WORDS, 12)])
