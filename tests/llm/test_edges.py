@@ -4,11 +4,13 @@ import hashlib
 import itertools
 import os
 import random
+import sys
 import time
 from collections import Counter
 
 import numpy as np
 import public_tokenizers as P
+import pyarrow as pa
 import pytest
 import tiktoken
 from hypothesis import given, settings
@@ -432,6 +434,46 @@ def test_cached_words_have_the_tokenizers_ids(text):
     assert _WORD_IDS.encode(text).tolist() == _WORD_IDS.tokenizer.encode(text, add_special_tokens=False).ids
 
 
+def test_new_words_cost_few_calls():
+    ids, calls = packing.WordIds(P.path("word_bpe_49k.json")), Counter()
+    words = [f"{a}{b}{c}." for a in ("Ba", "di", "ko", "lu") for b in ("nor", "tés", "gim") for c in map("".join, itertools.product("aeiou", "rstlm", "aeiou"))]
+    sys.setprofile(lambda _, event, __: calls.update([event]))
+    try:
+        got = ids.encode(" ".join(words))
+    finally:
+        sys.setprofile(None)
+    assert got.tolist() == ids.tokenizer.encode(" ".join(words), add_special_tokens=False).ids
+    assert calls["call"] + calls["c_call"] < 12 * len(words)
+
+
+def test_texts_taken_together_have_the_tokenizers_ids(monkeypatch):
+    texts = [None, "", " \t", "  Don't  stop\r\n", "na\u00efve caf\u00e9\u00b2 x\u00ad1/2", "\u65e5\u672c it's", "a\x1cb \x85", "<|endoftext|> </w>", "e\u0301 \u0301", "x" * 250 + " y", "''s 'S '", None, "stop Don't na\u00efve"] * 3
+    ids = packing.WordIds(P.path("word_bpe_49k.json"), 9)
+    want = [ids.tokenizer.encode(t or "", add_special_tokens=False).ids for t in texts]
+    for kind in (pa.string(), pa.large_string()):
+        assert [x.tolist() for x in ids.encode_all(pa.array(texts, kind))] == want
+        assert [x.tolist() for x in ids.encode_all(pa.array(texts, kind)[5:20])] == want[5:20]
+    assert ids.encode_all(pa.array([], pa.string())) == [] and len(ids) <= 9
+    monkeypatch.setattr(ids, "last", np.zeros_like(ids.last))  # as if no token told the end of a word
+    ids.clear()
+    assert [x.tolist() for x in ids.encode_all(pa.array(texts))] == want
+
+
+def test_groups_of_texts_are_bounded_and_whole(monkeypatch):
+    monkeypatch.setattr(packing, "TEXT_BYTES", 1000)
+    texts = ["x" * n if n % 7 else None for n in (*range(0, 400, 9), 5000, 3, 2000, 2000, *[0] * 50)]
+    rows = pa.record_batch([pa.array(range(len(texts))), pa.array(texts)], names=["doc_id", "text"])
+    batches = [rows.slice(0, 0), *[rows.slice(at, 11) for at in range(0, len(texts), 11)]]
+    groups = [g.to_pydict() for g in packing._groups(iter(batches))]
+    assert [t for g in groups for t in g["text"]] == texts and [i for g in groups for i in g["doc_id"]] == list(range(len(texts)))
+    assert all(len(g["text"]) == 1 or sum(len(t or "") + packing.ROW_BYTES for t in g["text"]) <= 1000 for g in groups)
+    assert len(groups) < len(texts) / 2 and list(packing._groups(iter([]))) == []
+
+
+def test_a_worker_keeps_its_words():
+    assert packing.word_ids(P.path("word_bpe_49k.json")) is packing.word_ids(P.path("word_bpe_49k.json"))
+
+
 def test_licenses(spark):
     rows = [
         (1, "a/b/x.txt", prose(9, 20) + "\nLicensed under the Apache License, Version 2.0."), (2, "a/LICENSE", "Released under the MIT License."), (3, "a/b/c/y.txt", "plain text"), (4, "z/y.txt", None),
